@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .lines import OP8_SQL, op8_line_dedup
+from .minhash import op2_minhash
 from .mixing import OP9_SQL, op9_mixing
+from .substrings import op6_substring_dedup
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
 }
