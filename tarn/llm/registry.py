@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .langid import op7_language_id
 from .lines import OP8_SQL, op8_line_dedup
 from .minhash import op2_minhash
 from .mixing import OP9_SQL, op9_mixing
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
 }
