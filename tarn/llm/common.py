@@ -35,6 +35,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unplaced(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` (bigint keys) as if it weren't dealt by the keys it was grouped by.
+
+    A join on them then deals out both sides anew, and only such joins can have their
+    hot partitions split at run time.
+    """
+    return df.withColumns({k: F.bitwise_not(F.bitwise_not(k)) for k in keys})
+
+
 def small(df: DataFrame, most: int = 10_000):
     """``F.broadcast`` if ``df`` (materialised) has at most ``most`` rows, else nothing: the join then shuffles."""
     return F.broadcast if df.limit(most + 1).count() <= most else lambda x: x

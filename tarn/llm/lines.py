@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, table
+from .common import SPACES, ascii_lower, table, unplaced
 
 
 def _lines(text: Column) -> Column:
@@ -38,7 +38,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     # One row per key and document first, so a line in a third of all documents is counted in parts.
     held = lines.groupBy("_h1", "_h2", "_d").agg(F.lit(1).alias("_one"))
     common = held.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_d").alias("_last")).where(F.col("_n") >= min_docs)
-    doomed = lines.join(common, ["_h1", "_h2"]).where(~F.col("_d").eqNullSafe(F.col("_last")))
+    doomed = lines.join(unplaced(common, "_h1", "_h2"), ["_h1", "_h2"]).where(~F.col("_d").eqNullSafe(F.col("_last")))
     # Repeated rows give the same positions more than once: a set, bounded by the text's own lines.
     doomed = doomed.groupBy("_d", "_t").agg(F.collect_set("_p").alias("_drop"))
     joined = keyed.join(doomed, keyed["doc_id"].eqNullSafe(doomed["_d"]) & (keyed["_t"] == doomed["_t"]), "left")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, table
+from .common import checkpointed, connected_components, table, unplaced
 from .words import U, chunks, inverse, mix, powers, runs, words, _Q
 
 #: Signature values compared before each decision.
@@ -186,23 +186,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     sets_of = ["f1", "f2", "n_shingles"]
     usable = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = checkpointed(usable.groupBy(*sets_of).agg(F.min("doc_id").alias("id")))
-    classes = checkpointed(usable.join(first, sets_of).where("doc_id = id").select("id", "n_shingles", "bands", "sig").dropDuplicates(["id"]))
+    classes = checkpointed(usable.join(unplaced(first, "f1", "f2"), sets_of).where("doc_id = id").select("id", "n_shingles", "bands", "sig").dropDuplicates(["id"]))
     keys = classes.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    held = checkpointed(keys.join(shared, "key"))
+    held = checkpointed(keys.join(unplaced(shared, "key"), "key"))
     sets = checkpointed(_whole_sets(docs, held.select("id").distinct(), k))
 
     # Each class with the member of its bucket that meets most others anywhere.
     weight = held.groupBy("id").agg(F.sum(F.col("size") - 1).alias("weight"))
     hubs = held.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
-    stars = held.join(hubs.select("key", (-F.col("top.minus")).alias("hub")), "key").where("id <> hub").select(*_ordered("id", "hub")).distinct()
+    stars = held.join(hubs.select("key", (-F.col("top.minus")).alias("hub")).transform(unplaced, "key"), "key").where("id <> hub").select(*_ordered("id", "hub")).distinct()
     test = lambda pairs: checkpointed(_verified(_likely(pairs, classes, num, den, bands * rows, miss), sets, num, den))
     parts = connected_components(test(stars))
 
     # What shares a bucket and is still apart.
     at = held.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     open_keys = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    apart = checkpointed(at.join(open_keys, "key"))
+    apart = checkpointed(at.join(unplaced(open_keys, "key"), "key"))
     crowded = apart.where(F.col("size") > crowd).join(classes.select("id", "bands"), "id")
     crowded = crowded.select("id", "c", "key", F.explode("bands").alias("also")).where("key < also").select(F.xxhash64("key", "also").alias("key"), "id", "c")
     cells = checkpointed(apart.where(F.col("size") <= crowd).select("key", "id", "c").unionByName(crowded))
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     above = connected_components(ends).select(F.col("node").alias("_p"), F.col("component").alias("_q"))
     found = first.join(node, first["id"] == node["_n"], "left").select(*sets_of, F.coalesce("_c", "id").alias("_c"))
     found = found.join(above, F.col("_c") == F.col("_p"), "left").select(*sets_of, F.coalesce("_q", "_c").alias("_component"))
-    out = made.select("doc_id", *sets_of).join(found, sets_of, "left")
+    out = made.select("doc_id", *sets_of).join(unplaced(found, "f1", "f2"), sets_of, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -8,6 +8,7 @@ from .lines import OP8_SQL, op8_line_dedup
 from .minhash import op2_minhash
 from .mixing import OP9_SQL, op9_mixing
 from .substrings import op6_substring_dedup
+from .vectors import op10_embedding_dedup
 
 QUERIES = {
     "op2_minhash": op2_minhash,
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL = {
     "op8_line_dedup": OP8_SQL,
