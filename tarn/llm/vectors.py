@@ -34,10 +34,15 @@ def tables_for(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     return bits, ceil(log(miss) / log(1 - p**bits)) if p < 1 else 1
 
 
-def usable(vector: Column) -> Column:
-    """False for null, empty and zero vectors and those with a null or non-finite component."""
+def finite(vector: Column) -> Column:
+    """False for null and empty vectors and those with a null or non-finite component."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
+    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, bad), F.lit(False))
+
+
+def usable(vector: Column) -> Column:
+    """Finite and not zero."""
+    return finite(vector) & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
