@@ -1,11 +1,12 @@
 """MinHash near-dedup (operator 2) with sequential Bayesian verification.
 
 Documents with equal shingle sets are one class.  Classes that share a band of their
-signatures are candidates: first each class with the most crowded member of its
-bucket (as many pairs as rows, however large a bucket is), then, among what is not
-connected yet, all pairs of different components in a bucket.  A candidate's signatures
-are compared in batches and given up once the posterior probability of a similarity at
-or over the threshold falls under ``miss``; survivors are verified on their whole sets.
+signatures are candidates: first each class with the member of its bucket that meets
+most others (as many pairs as rows, however large a bucket is), then, among those not
+connected yet, the different components within a bucket, compared in blocks.  Signatures
+are compared in batches, and a candidate is given up once the posterior probability of a
+similarity at or over the threshold falls under ``miss``; survivors are verified on their
+whole sets.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import comparable, in_blocks
 from .common import checkpointed, connected_components, table, unplaced
 from .words import U, chunks, inverse, mix, powers, runs, words, _Q
 
@@ -120,20 +122,30 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return some.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
 
 
+def _survivors(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int, enough: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (x[i], y[j]) of signatures of sets of n[i] and m[j], those that may be similar, and their matches."""
+    a, b = n[i], m[j]
+    alive = np.flatnonzero(np.minimum(a, b) * den >= np.maximum(a, b) * num)
+    same = np.zeros(len(i), np.int64)
+    for at in range(0, x.shape[1], BATCH):
+        to = min(x.shape[1], at + BATCH)
+        same[alive] += (x[i[alive], at:to] == y[j[alive], at:to]).sum(1)
+        alive = alive[same[alive] >= enough[to]]
+    return alive, same
+
+
+def _signature(column: pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int, size: int, miss: float) -> DataFrame:
     """Pairs whose signatures leave a similarity at the threshold possible."""
     enough = least_matches(num / den, size, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, size) for c in ("x", "y"))
-            n, m = (batch[c].to_numpy() for c in ("n", "m"))
-            alive = np.flatnonzero(np.minimum(n, m) * den >= np.maximum(n, m) * num)
-            same = np.zeros(len(n), np.int64)
-            for at in range(0, size, BATCH):
-                to = min(size, at + BATCH)
-                same[alive] += (x[alive, at:to] == y[alive, at:to]).sum(1)
-                alive = alive[same[alive] >= enough[to]]
+            every = np.arange(len(batch))
+            alive, _ = _survivors(every, every, _signature(batch["x"], size), _signature(batch["y"], size), batch["n"].to_numpy(), batch["m"].to_numpy(), num, den, enough)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(alive)), batch["b"].take(pa.array(alive))], ["a", "b"])
 
     one = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("sig").alias("x"))
@@ -141,6 +153,55 @@ def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int, size: int,
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _apart(t: pa.Table, num: int, den: int, enough: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a group in different components whose first shared band this is and that may be similar; their matches."""
+    c = t["c"].to_numpy()
+    i, j = np.nonzero(np.triu(comparable(t) & (c[:, None] != c[None, :])))
+    n, sig = t["n_shingles"].to_numpy(), _signature(t["sig"], len(enough) - 1)
+    alive, same = _survivors(i, j, sig, sig, n, n, num, den, enough)
+    i, j, same = i[alive], j[alive], same[alive]
+    keys = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(c), -1)
+    at = int(np.flatnonzero(keys[0] == t["key"][0].as_py())[0])
+    first = ~(keys[i, :at] == keys[j, :at]).any(1)
+    return i[first], j[first], same[first]
+
+
+def _rows_with_survivors(t: pa.Table, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
+    i, j, _ = _apart(t, num, den, enough)
+    some = pa.array(np.unique(np.concatenate([i, j])))
+    return pa.RecordBatch.from_arrays([t[x].combine_chunks().take(some) for x in ("key", "a")], ["key", "a"])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _links(t: pa.Table, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
+    """Verified links that join components, the most similar tried first; within the group, joined ones are one."""
+    i, j, same = _apart(t, num, den, enough)
+    order = np.argsort(-same, kind="stable")
+    a, sets = t["a"].to_numpy(), [np.frombuffer(x, U) for x in t["hashes"].to_pylist()]
+    up = {x: x for x in t["c"].to_pylist()}
+    c = t["c"].to_pylist()
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for p, q in zip(i[order].tolist(), j[order].tolist()):
+        one, two = top(c[p]), top(c[q])
+        if one != two:
+            common = _common(sets[p], sets[q])
+            if den * common >= num * (len(sets[p]) + len(sets[q]) - common):
+                up[two] = one
+                out.append((min(a[p], a[q]), max(a[p], a[q])))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs with den * intersection >= num * union of their whole sets."""
 
@@ -149,10 +210,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             keep = []
             for x, y in zip(batch["x"], batch["y"]):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(den * common >= num * (len(both) - common))
+                common = _common(x, y)
+                keep.append(den * common >= num * (len(x) + len(y) - common))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
@@ -165,7 +224,7 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 30, miss: float = 7e-6, crowd: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = 30, miss: float = 7e-6) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
     A document's set is its distinct runs of ``k`` words, A-Z as a-z; with fewer words
@@ -174,9 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     smallest doc_id, which alone has ``kept``.
 
     ``bands`` and ``miss`` set the rows of a band: a pair at the threshold shares no
-    band with a chance of ``miss`` at most.  In a bucket where over ``crowd`` classes
-    are still apart, a pair must share a second band, which a pair at the threshold
-    lacks with a chance of about 20 ``miss``.  No bucket or partner is left out.
+    band with a chance of ``miss`` at most.  No bucket or partner is left out.
 
     A null doc_id takes no part: component_id null, kept true.  Rows that repeat a
     doc_id are one document and each get its component.
@@ -199,16 +256,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     test = lambda pairs: checkpointed(_verified(_likely(pairs, classes, num, den, bands * rows, miss), sets, num, den))
     parts = connected_components(test(stars))
 
-    # What shares a bucket and is still apart.
-    at = held.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    # What shares a bucket and is still apart: compared by signatures, then the rows that had survivors by whole sets.
+    at = held.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias("a"), F.coalesce("component", "id").alias("c"))
+    open_keys = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     apart = checkpointed(at.join(unplaced(open_keys, "key"), "key"))
-    crowded = apart.where(F.col("size") > crowd).join(classes.select("id", "bands"), "id")
-    crowded = crowded.select("id", "c", "key", F.explode("bands").alias("also")).where("key < also").select(F.xxhash64("key", "also").alias("key"), "id", "c")
-    cells = checkpointed(apart.where(F.col("size") <= crowd).select("key", "id", "c").unionByName(crowded))
-    one, two = cells.select("key", F.col("id").alias("i"), F.col("c").alias("ci")), cells.select("key", F.col("id").alias("j"), F.col("c").alias("cj"))
-    rest = one.join(two, "key").where("ci < cj").select(*_ordered("i", "j")).distinct()
-    late = test(rest)
+    component = apart.groupBy("a").agg(F.min("c").alias("c"))
+    rows_of = checkpointed(component.join(classes.withColumnRenamed("id", "a"), "a"))
+    enough = least_matches(num / den, bands * rows, miss)
+    near = in_blocks(apart.select("key", "a"), rows_of, lambda t: _rows_with_survivors(t, num, den, enough), "key long, a long").distinct()
+    rows_of = rows_of.join(sets.withColumnRenamed("id", "a"), "a")
+    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t: _links(t, num, den, enough), "a long, b long", 256).distinct())
     node = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     ends = late.join(node, late["a"] == node["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b").join(node, F.col("b") == node["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
     above = connected_components(ends).select(F.col("node").alias("_p"), F.col("component").alias("_q"))

@@ -18,11 +18,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, table, unplaced
+from .blocks import comparable, in_blocks
+from .common import checkpointed, connected_components, table
 from .words import U, mix
 
-#: Rows of a block; larger buckets are compared block by block, each pair of blocks in a row group of its own.
-BLOCK = 512
 #: The chance to miss a pair at the threshold.
 MISS = 1e-4
 
@@ -88,7 +87,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
     vector (the largest, if they differ).
     """
     src = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"))
-    kind = src.schema["v"].dataType.simpleString()
     good = checkpointed(src.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.max("v").alias("v")))
     same = checkpointed(good.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("copies")))
     bits, count = tables_for(same.count(), threshold, miss)
@@ -108,16 +106,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
 
     def forest(rows: pa.Table) -> pa.RecordBatch:
         a = rows["a"].to_numpy()
-        root = a[_labels(_near(rows, threshold)[0])]
+        root = a[_labels(_near(rows, threshold))]
         return pa.RecordBatch.from_arrays([pa.array(a[a != root]), pa.array(root[a != root])], ["a", "b"])
 
     def count_links(rows: pa.Table) -> pa.RecordBatch:
-        near, copies = _near(rows, threshold)[0], rows["copies"].to_numpy()
+        near, copies = _near(rows, threshold), rows["copies"].to_numpy()
         return pa.RecordBatch.from_arrays([rows["a"].combine_chunks(), pa.array((near @ copies.astype(np.float64)).astype(np.int64))], ["a", "links"])
 
-    shared = _in_blocks(keyed, same, kind, forest, "a long, b long").distinct()
+    shared = in_blocks(keyed, same, forest, "a long, b long").distinct()
     parts = connected_components(shared).select(F.col("node").alias("a"), F.col("component").alias("key"))
-    links = _in_blocks(parts, same, kind, count_links, "a long, links long").groupBy("a").agg(F.sum("links").alias("links"))
+    links = in_blocks(parts, same, count_links, "a long, links long").groupBy("a").agg(F.sum("links").alias("links"))
     found = same.join(links, "a", "left").join(parts, "a", "left")
     found = found.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("key", "a").alias("c"))
     found = good.join(found, "v").select(F.col("id").alias("_id"), "n_links", "c")
@@ -126,46 +124,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
     return out.withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True)))
 
 
-def _near(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows of a pair of blocks are linked; two different blocks are only compared with each other."""
-    own = rows["own"].to_numpy()
+def _near(rows: pa.Table, threshold: float) -> np.ndarray:
+    """Which rows of a pair of blocks are linked."""
     v = _unit(_matrix(rows["v"].combine_chunks()))
-    near = v @ v.T >= threshold
-    if rows["x"][0] != rows["y"][0]:
-        near &= own[:, None] != own[None, :]
-    np.fill_diagonal(near, False)
-    return near, own
-
-
-def _in_blocks(keyed: DataFrame, same: DataFrame, kind: str, f, schema: str) -> DataFrame:
-    """f for each pair of blocks of every key that two or more rows of ``keyed`` (a, key) share.
-
-    A key of b blocks is dealt to b (b + 1) / 2 groups, so no task gets more than about
-    two blocks of a key at once.
-    """
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    held = keyed.join(unplaced(sizes, "key"), "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.select("a", "key", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
-    names = ["key", "x", "y"]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            group = np.stack([batch[c].to_numpy() for c in names])
-            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), len(batch)]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if held and [held[-1][c][0].as_py() for c in names] != group[:, s].tolist():
-                    yield f(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield f(pa.Table.from_batches(held))
-
-    rows = held.join(same, "a").select(*names, "own", "a", "copies", F.col("v").cast(kind))
-    return rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(meet, schema)
+    return (v @ v.T >= threshold) & comparable(rows)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
