@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import checkpointed, table
 from .words import U, chunks, mix, runs, words
 
 #: An anchor with at least this share of all rows is dealt out by windows; at most twice as many anchors are broadcast.
 HOT = 4000
 #: Bytes of text whose windows are compared before anything is shuffled.
 PART = 4 << 20
+#: Bytes of a window's hash that travel; they only tell apart windows of one (64-bit) anchor.
+PACKED = 6
 
 
 def _window_runs(column: pa.Array, length: int, seed: int):
@@ -58,10 +60,16 @@ def _spans(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(at)))
 
 
-def _binary(values: np.ndarray, begin: np.ndarray) -> pa.Array:
-    """64-bit values, cut into binary rows that begin at the places given."""
-    ends = np.append(begin, len(values)).astype(np.int32) * np.int32(8)
-    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+def _pack(values: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The low ``PACKED`` bytes of 64-bit values, cut into binary rows that begin at the places given."""
+    ends = np.append(begin, len(values)).astype(np.int32) * np.int32(PACKED)
+    low = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PACKED])
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+
+
+def _unpack(rows: pa.Array) -> np.ndarray:
+    low = np.frombuffer(b"".join(x for x in rows.to_pylist() if x is not None), np.uint8).reshape(-1, PACKED)
+    return np.pad(low, ((0, 0), (0, 8 - PACKED))).view("<u8").reshape(-1).astype(U)
 
 
 def _hot_anchors(src: DataFrame, length: int, seed: int) -> list[int]:
@@ -80,16 +88,15 @@ def _hot_anchors(src: DataFrame, length: int, seed: int) -> list[int]:
                 many &= n > 1
                 yield pa.RecordBatch.from_arrays([pa.array([None, *key[many].view(np.int64).tolist()], pa.int64()), pa.array([int(n.sum()), *n[many].tolist()], pa.int64())], ["key", "n"])
 
-    n = src.select("_text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    total = F.max(F.when(F.col("key").isNull(), F.col("n")))
+    n = checkpointed(src.select("_text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     # The reported anchors are few for each part, but not in all: the bound is applied before anything comes here.
-    rows = n.where("key IS NULL").agg(total.alias("all")).first()["all"] or 0
+    rows = n.where("key IS NULL").agg(F.max("n")).first()[0] or 0
     return [r.key for r in n.where((F.col("key").isNotNull()) & (F.col("n") * (2 * HOT) >= rows) & (F.col("n") > 64)).select("key").collect()]
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, seed: int | None = None) -> DataFrame:
     """doc_id, tag (hash of the text), start, n: words start .. start + n + length - 2 are n windows that occur anywhere else."""
-    seed = seed or max(1, length * 4 // 7)
+    seed = seed or max(1, length * 2 // 5)
     src = docs.select("doc_id", F.hash("text").alias("tag"), F.col("text").alias("_text"))
     hot = docs.sparkSession.sparkContext.broadcast(np.array(sorted(_hot_anchors(src, length, seed)), np.int64).view(U))
     ids = docs.schema["doc_id"].dataType
@@ -110,7 +117,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int | None = None) -
                 trow = w.row[twice[tb]] if len(tb) else tb
                 rows = pa.array(np.concatenate([row, trow]))
                 start = np.concatenate([kept[begin] - w.first[row], twice[tb] - w.first[trow]]).astype(np.int32)
-                packed = _binary(h, begin) if len(begin) else pa.array([], pa.binary())
+                packed = _pack(h, begin) if len(begin) else pa.array([], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([anchor[begin], mix(twice[tb].astype(U))]).view(np.int64)), part["doc_id"].take(rows), part["tag"].take(rows), pa.array(start),
@@ -121,7 +128,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int | None = None) -
 
     def extend(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
-        h = np.frombuffer(b"".join(x for x in rows["hashes"].to_pylist() if x is not None), U)
+        h = _unpack(rows["hashes"])
         size, known = rows["n"].to_numpy(), rows["hashes"].is_null().to_numpy()
         key, start = rows["key"].to_numpy().view(U), rows["start"].to_numpy()
         which = np.repeat(np.flatnonzero(~known), size[~known])
