@@ -11,12 +11,29 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe, lines, mixing
+from tarn.llm import bpe, langid, lines, minhash, mixing
 from tarn.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Texts whose language scores less are like none that was learned.
+LEAST_SCORE = 0.1
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones have; those without letters and those like none go."""
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select(*COLUMNS), model, "_lang", "_score")
+    return found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with 80 % of their runs of five words in common, the one of the smallest doc_id stays."""
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), 5, 80, 100)
+    return docs.join(found.where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that five or more documents share stay in one of them; n_chars follows the text."""
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -31,11 +48,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and digests of the ids and of what they decode to."""
     ranks, pattern = bpe.public_vocabulary()
     coded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), ranks, pattern, decoded="decoded")
-    sums = bpe.digests(coded.select("doc_id", "ids", "decoded", "lang", "source"), "lang", "source", "ids")
-    return sums
+    return bpe.digests(coded.select("doc_id", "ids", "decoded", "lang", "source"), "lang", "source", "ids")
 
 
-STAGES = [("line_dedup", drop_lines), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("language_id", keep_languages), ("line_dedup", drop_lines), ("minhash", drop_copies), ("mixing", mix_sources), ("bpe", encode)]
 
 #: The stages that classify and compare have no SQL; tests hold the whole against brute force.
 ORACLE_SQL = None

@@ -64,7 +64,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
-    x, y = presence(texts), np.array([[1.0 if a == b else -1.0 for b in languages] for a in langs])
+    x, y = presence(texts), np.array([[1.0 if a == b else 0.0 for b in languages] for a in langs])
     seen: dict[str, int] = {}
     at = [i for i, a in enumerate(langs) if seen.setdefault(a, 0) < landmarks and not seen.update({a: seen[a] + 1})]
     nm = (x @ x[at].T).astype(float)
@@ -102,11 +102,12 @@ def _letters(text: str | None) -> bool:
 
 
 def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the language of ``text`` and a score from 0 to 1 (0.5: no better than chance).
+    """``docs`` with the language of ``text`` and a score from 0 to 1.
 
     ``und`` with score 0 for null texts, texts without letters, and if nothing was
-    learned.  The score is the regression's value from -1 to 1 moved to that range;
-    ties go to the first language by name.  Other columns pass through.
+    learned.  The score is the regression's value, cut to 0 to 1: near 1 for texts like
+    those learned from, near 0 for a text unlike all.  Ties go to the first language by
+    name.  Other columns pass through.
     """
     out = [c for c in docs.columns if c not in (pred, score)]
     schema = T.StructType([*docs.select(*out).schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
@@ -124,7 +125,7 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
                     if known := [i for i, t in enumerate(texts) if m.languages and _letters(t)]:
                         f = m.scores([texts[i] for i in known])
                         best[known] = f.argmax(1)
-                        value[known] = np.clip((f.max(1) + 1) / 2, 0, 1)
+                        value[known] = np.clip(f.max(1), 0, 1)
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in out), pa.array(names[best], pa.string()), pa.array(value)], schema.names)
 
     return docs.select(*out, F.col("text").alias("_text")).mapInArrow(run, schema)
