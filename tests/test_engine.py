@@ -1,0 +1,115 @@
+"""Quantifiers, batches and the defects that must not come back."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.functions.patterns import compile_pattern
+from tarn.functions.predicates import compare, like_quantified, subsumed
+from tarn.operators.engine import Engine
+from tarn.plans.query import CountQuery, QueryError
+from tarn.sources.lake import Catalog
+from tarn.streaming.counts import stream_counts, stream_parquet
+
+NAMES = ["red bolt", "red ring", "blue bolt", "blue ring", "old gear", "reddish", "", "a|b", "50% off", "x_y", "back\\slash"]
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    catalog = Catalog(spark)
+    catalog.add("t", spark.createDataFrame([(n, i, str(i % 3)) for i, n in enumerate(NAMES)], "name string, i int, p string"), ("p",))
+    catalog.add("n", spark.createDataFrame([("a", None), (None, "x"), ("b", "y")], "c string, d string"))
+    return Engine(catalog)
+
+
+def names(engine, quantifier, patterns, dialect="reference"):
+    df = engine.catalog.table("t")
+    return {r["name"] for r in df.where(like_quantified(F.col("name"), quantifier, patterns, dialect)).collect()}
+
+
+def test_quantifiers(engine):
+    assert names(engine, "ALL_LIKE", ["%red%", "%bolt"]) == {"red bolt"}
+    assert names(engine, "ANY_LIKE", ["old%", "%ring"]) == {"old gear", "red ring", "blue ring"}
+    assert names(engine, "NONE_LIKE", ["%e%", "%a%"]) == {"", "50% off", "x_y"}
+    assert names(engine, "ALL_LIKE", []) == set(NAMES) == names(engine, "NONE_LIKE", [])
+    assert names(engine, "ANY_LIKE", []) == set()
+    assert names(engine, "ANY_LIKE", [""]) == set(NAMES)
+    with pytest.raises(ValueError):
+        like_quantified(F.col("name"), "SOME_LIKE", ["a"])
+    with pytest.raises(ValueError):
+        compare(F.col("name"), ">=", "a")
+
+
+def test_dialects(engine):
+    assert names(engine, "ALL_LIKE", ["e%l"]) == {"red bolt", "blue bolt"}
+    assert names(engine, "ALL_LIKE", ["e%l"], "sql") == set()
+    assert names(engine, "ALL_LIKE", ["r%t"], "sql") == {"red bolt"}
+    assert names(engine, "ALL_LIKE", [r"%\%%"]) == {"50% off"}
+    assert names(engine, "ALL_LIKE", [r"%\_%"]) == {"x_y"}
+    assert names(engine, "ALL_LIKE", [r"%k\\s%"]) == {"back\\slash"}
+    assert names(engine, "ALL_LIKE", ["a_b"]) == {"a|b"}
+    assert names(engine, "ALL_LIKE", [""], "sql") == {""}
+
+
+def test_a_row_counts_once_however_many_patterns_it_matches(engine):
+    many = ["red%", "blue%", "old%", "%bolt", "%ring", "%gear", "%d b%"]
+    q = CountQuery("t", "name", "!=", "", "name", "ANY_LIKE", tuple(many))
+    assert engine.count(q).first()["n"] == 6
+    assert engine.count(CountQuery("t", "name", "!=", "", "name", "NONE_LIKE", tuple(many))).first()["n"] == 4
+
+
+def test_hundreds_of_patterns(engine):
+    patterns = [f"q{i}%" for i in range(400)] + ["old%"]
+    assert names(engine, "ANY_LIKE", patterns) == {"old gear"}
+
+
+def test_subsumption():
+    kept = lambda longest, *p: [x.like for x in subsumed([compile_pattern(x) for x in p], longest)]
+    assert kept(True, "a%", "ab%", "abc%", "b%") == ["abc%", "b%"]
+    assert kept(False, "a%", "ab%", "abc%", "b%") == ["a%", "b%"]
+    assert kept(False, "%a", "%ba", "%c_a") == ["%a", "%c_a"]
+
+
+def test_typed_columns_compare_as_text(engine, spark):
+    assert engine.count("t i > '5' i ALL_LIKE ['%']").first()["n"] == 4  # 6 to 9; '10' < '5'
+    engine.catalog.add("x", spark.sql("SELECT timestamp'1999-01-02 03:04:05' AS ts, 1.5D AS d, date'2000-01-01' AS day"))
+    assert engine.count("x ts = '1999-01-02' day ALL_LIKE ['2000-%']").first()["n"] == 1
+    with pytest.raises(QueryError, match="double"):
+        engine.count("x d = '1.5' ts ALL_LIKE ['%']")
+
+
+def test_nulls(engine):
+    assert Engine(engine.catalog, nulls=True).count("n c != 'q' d ALL_LIKE ['%']").first()["n"] == 3
+    assert Engine(engine.catalog, nulls=True).count("n c = '' d ALL_LIKE ['x']").first()["n"] == 1
+
+
+def test_batch_is_one_scan_and_equals_single_queries(engine):
+    lines = [f"t name {op} 'm' name {q} ['red%','%ring']" for op in ("=", "!=", ">", "<") for q in ("ALL_LIKE", "ANY_LIKE", "NONE_LIKE")]
+    lines += ["t p = '1' name ALL_LIKE ['%']", "t p = '1' name ANY_LIKE ['b%']", "t name > '' p ANY_LIKE ['1','2']"]
+    found = {r["query_no"]: r["n"] for r in engine.batch(lines).collect()}
+    assert found == {i: engine.count(line).first()["n"] for i, line in enumerate(lines)}
+    from tarn.plans.query import parse_query
+
+    assert [len(g) for g in engine._groups([parse_query(x) for x in lines])] == [12, 2, 1]
+    assert engine.batch([]).collect() == []
+
+
+def test_a_bad_line_spoils_no_other(engine):
+    found = engine.answers(["t name = 'reddish' i ALL_LIKE ['5']", "absent c = '' c ALL_LIKE []", "nonsense", "t q = '' name ALL_LIKE []", "t name = '' i ALL_LIKE ['_']"])
+    assert [a.count for a in found] == [1, None, None, None, 1]
+    assert all(a.error for a in found[1:4])
+
+
+def test_stream(spark, tmp_path):
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(NAMES)], "name string, i int")
+    df.where("i < 5").coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = CountQuery("t", "name", "!=", "", "name", "ANY_LIKE", ("red%",))
+    stream = stream_counts(stream_parquet(spark, str(tmp_path / "in"), df.schema), [q]).writeStream.outputMode("complete").format("memory").queryName("counts")
+    run = stream.option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        run.processAllAvailable()
+        assert spark.table("counts").collect()[0]["n0"] == 2
+        df.where("i >= 5").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run.processAllAvailable()
+        assert spark.table("counts").collect()[0]["n0"] == 3
+    finally:
+        run.stop()
