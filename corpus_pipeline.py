@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe, langid, lines, minhash, mixing
-from tarn.llm.common import shared_folder
+from tarn.sources.scratch import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
