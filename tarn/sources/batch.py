@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 def read_queries(spark: SparkSession, path: str) -> list[str]:
     """The lines of a query file in order; empty ones are left out."""
-    whole = spark.read.option("wholetext", True).text(path).first()
+    whole = spark.read.text(path, wholetext=True).first()
     return [x for x in (whole[0] if whole else "").splitlines() if x.strip()]
 
 
