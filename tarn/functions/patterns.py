@@ -58,7 +58,7 @@ class Pattern:
         body = "%".join(inner)
         before = "%" if self.kind in (Kind.SUFFIX, Kind.FIXED, Kind.FULL) else ""
         after = "%" if self.kind in (Kind.PREFIX, Kind.FIXED, Kind.FULL) else ""
-        return (before + body + after) or "%"
+        return before + body + after
 
 
 def _parts(text: str, bar: bool) -> tuple[str | None, ...]:
