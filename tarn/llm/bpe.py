@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .words import chunks
+from .words import chunks, release
 
 _M = (1 << 64) - 1
 
@@ -79,7 +79,7 @@ class PerfectHash:
 class Coder(dict):
     """Maps pre-tokens to tuples of ids; itself the bounded table of those seen."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 800_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
         import regex
 
         super().__init__()
@@ -139,7 +139,7 @@ _coders: dict[str, Coder] = {}
 
 
 def _coder(name: str, shared, pattern: str) -> Coder:
-    """One for each worker process and vocabulary, with what it has seen in earlier tasks."""
+    """One for each worker process and vocabulary."""
     if name not in _coders:
         _coders.clear()
         _coders[name] = Coder(shared.value, pattern)
@@ -171,6 +171,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "i
                 if decoded:
                     columns.append(pa.array([coder.decode(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+        coder.clear()
+        release()
 
     return src.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table, unplaced
+from .common import checkpointed, table
 
 #: Turn numbers per piece of a conversation; a long one is counted and hashed piece by piece.
 PIECE = 256
@@ -25,44 +25,54 @@ def render_turn(role: Column, text: Column) -> Column:
 
 
 def _prefixes(turns: DataFrame) -> DataFrame:
-    """Every turn with its place ``pos`` (from 1) and the names ``px, py`` of the prefix that it ends."""
-    t = turns.withColumn("piece", F.floor(F.coalesce("turn", F.lit(-1)) / PIECE))
-    t = checkpointed(t)
-    of = Window.partitionBy("conv", "piece").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    """conv, and for every turn its place ``pos`` (from 1) and the names ``px, py`` of the prefix that it ends.
+
+    turns: conv, turn, role, key.  Pieces of a conversation are counted and hashed on
+    their own and moved by what the pieces before them have, so no task needs to have
+    all turns of a conversation.
+    """
+    t = checkpointed(turns.withColumn("piece", F.floor(F.coalesce("turn", F.lit(-1)) / PIECE)))
+    of = Window.partitionBy("conv", "piece").orderBy(F.col("turn").asc_nulls_first(), "role", "key")
     before = Window.partitionBy("conv").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = t.groupBy("conv", "piece").agg(F.count("*").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    back = lambda d: d.select(F.col("conv").alias("_c"), F.col("piece").alias("_p"), *[c for c in d.columns if c in ("skip", "bx", "by")])
+
+    def back(pieces: DataFrame, *columns: str) -> DataFrame:
+        return pieces.select(F.col("conv").alias("_c"), F.col("piece").alias("_p"), *columns)
+
     same = [F.col("conv").eqNullSafe(F.col("_c")), F.col("piece") == F.col("_p")]
-    t = t.withColumn("at", F.row_number().over(of)).join(back(counts), same).drop("_c", "_p")
-    t = t.withColumn("pos", F.col("skip") + F.col("at")).drop("skip", "at")
-    t = t.withColumn("hx", F.xxhash64("pos", "role", "text")).withColumn("hy", F.xxhash64(F.lit(1), "text", "role", "pos"))
-    t = checkpointed(t)
+    counts = t.groupBy("conv", "piece").agg(F.count("*").alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    t = t.withColumn("at", F.row_number().over(of)).join(back(counts, "skip"), same).withColumn("pos", F.col("skip") + F.col("at"))
+    t = checkpointed(t.select("conv", "piece", "pos", F.xxhash64("pos", "role", "key").alias("hx"), F.xxhash64(F.lit(1), "key", "role", "pos").alias("hy")))
     xors = t.groupBy("conv", "piece").agg(F.bit_xor("hx").alias("x"), F.bit_xor("hy").alias("y"))
     xors = xors.withColumn("bx", F.coalesce(F.bit_xor("x").over(before), F.lit(0))).withColumn("by", F.coalesce(F.bit_xor("y").over(before), F.lit(0)))
     within = Window.partitionBy("conv", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("px", F.bit_xor("hx").over(within)).withColumn("py", F.bit_xor("hy").over(within)).join(back(xors), same).drop("_c", "_p", "hx", "hy")
-    return t.withColumn("px", F.col("px").bitwiseXOR(F.col("bx"))).withColumn("py", F.col("py").bitwiseXOR(F.col("by"))).drop("bx", "by")
+    t = t.withColumn("x", F.bit_xor("hx").over(within)).withColumn("y", F.bit_xor("hy").over(within)).join(back(xors, "bx", "by"), same)
+    return t.select("conv", "pos", F.col("x").bitwiseXOR(F.col("bx")).alias("px"), F.col("y").bitwiseXOR(F.col("by")).alias("py"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """``conv_id, n_turns, n_copies, rendered``: a row for each maximal conversation.
 
-    Turns are ordered by turn (null first), then role and text; rows that repeat another
-    in all four columns are one turn.  Null roles and texts are empty strings; rows
-    with a null conv_id are one conversation.  A conversation goes if its turns are the
-    first turns of a longer one; of equal ones the smallest conv_id stays (null before
-    all), and ``n_copies`` counts them.  Other columns are left out.
+    Turns are ordered by turn (null first), then role and the md5 of the text; rows
+    that repeat another in all of these are one turn.  Null roles and texts are empty
+    strings; rows with a null conv_id are one conversation.  A conversation goes if its
+    turns are the first turns of a longer one; of equal ones the smallest conv_id stays
+    (null before all), and ``n_copies`` counts them.  Other columns are left out.
+
+    Texts are only hashed until it is known which conversations stay; they are shuffled
+    once, to be put together.
     """
-    turns = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    t = checkpointed(_prefixes(turns))
-    ends = t.groupBy("conv").agg(F.max(F.struct("pos", "px", "py")).alias("e")).select("conv", "e.*")
+    rows = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.md5("text"))
+    t = checkpointed(_prefixes(rows.select("conv", "turn", "role", F.unhex("key").alias("key")).distinct()))
+    ends = checkpointed(t.groupBy("conv").agg(F.max(F.struct("pos", "px", "py")).alias("e")).select("conv", "e.*"))
     whole = ends.groupBy("pos", "px", "py").agg(F.min(F.struct("conv")).alias("c"), F.count("*").alias("n_copies")).select("pos", "px", "py", "c.conv", "n_copies")
-    # A prefix is proper if another turn follows it: the next one's place in the same conversation.
+    # A prefix is proper if the same conversation goes on after it.
     longest = ends.select(F.col("conv").alias("_c"), F.col("pos").alias("_n"))
-    inner = t.select("conv", "pos", "px", "py").join(longest, F.col("conv").eqNullSafe(F.col("_c"))).where(F.col("pos") < F.col("_n")).select("pos", "px", "py").distinct()
+    inner = t.join(longest, F.col("conv").eqNullSafe(F.col("_c"))).where(F.col("pos") < F.col("_n")).select("pos", "px", "py").distinct()
     kept = whole.join(inner, ["pos", "px", "py"], "left_anti").select(F.col("conv").alias("_c"), F.col("pos").alias("n_turns"), "n_copies")
-    lines = t.select("conv", "pos", render_turn(F.col("role"), F.col("text")).alias("line")).join(kept, F.col("conv").eqNullSafe(F.col("_c")))
-    shown = lines.groupBy("conv").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    lines = rows.select("conv", F.struct("turn", "role", "key", render_turn(F.col("role"), F.col("text")).alias("line")).alias("l"))
+    lines = lines.join(checkpointed(kept), F.col("conv").eqNullSafe(F.col("_c")))
+    shown = lines.groupBy("conv").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_set("l")).alias("l"))
     return shown.select(F.col("conv").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.col("l.line"), "").alias("rendered"))
 
 
@@ -75,7 +85,7 @@ WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(t
 o AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
         '{OPEN}' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '{CLOSE}' || chr(10) AS line,
         sha256(role || chr(0) || text) AS h
-      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
 p AS (SELECT *, string_agg(line, '') OVER w AS shown, string_agg(h, '') OVER w AS prefix
       FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 e AS (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY conv_id NULLS FIRST) AS nth,

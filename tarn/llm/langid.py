@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .words import chunks
+from .words import chunks, release
 
 ORDER, BITS = 4, 14
 #: Bounds of the sample: texts of a language, landmarks of a language, and languages (the most frequent).
@@ -127,6 +127,7 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
                         best[known] = f.argmax(1)
                         value[known] = np.clip(f.max(1), 0, 1)
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in out), pa.array(names[best], pa.string()), pa.array(value)], schema.names)
+        release()
 
     return docs.select(*out, F.col("text").alias("_text")).mapInArrow(run, schema)
 

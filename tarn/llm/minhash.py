@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import comparable, in_blocks
 from .common import checkpointed, connected_components, table, unplaced
-from .words import U, chunks, inverse, mix, powers, runs, words, _Q
+from .words import U, chunks, inverse, mix, powers, release, runs, words, _Q
 
 #: Signature values compared before each decision.
 BATCH = 30
@@ -104,6 +104,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 sig = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(np.arange(len(sets) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(low)])
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * np.int32(bands)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), to(ends, keys.reshape(-1).view(np.int64)), sig], names)
+        release()
 
     schema = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, table
-from .words import U, chunks, mix, runs, words
+from .words import U, chunks, mix, release, runs, words
 
 #: An anchor with at least this share of all rows is dealt out by windows; at most twice as many anchors are broadcast.
 HOT = 4000
@@ -125,6 +125,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int | None = None) -
                     ],
                     schema.names,
                 )
+        release()
 
     def extend(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()

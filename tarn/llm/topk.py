@@ -34,7 +34,7 @@ class Tree:
         self.high: list[np.ndarray] = []
         #: The two children of a node, or the rows of a leaf.
         self.below: list = []
-        todo = [(np.arange(len(points)), -1, 0)]
+        todo = [(np.arange(len(points)), -1, 0)] if len(points) else []
         while todo:
             rows, parent, side = todo.pop()
             p = points[rows]

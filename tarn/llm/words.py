@@ -6,6 +6,8 @@ polynomial modulo 2^64, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +23,13 @@ _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system; idle workers stay for a while beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """At least n powers of an odd number modulo 2^64."""
     have = _powers.get(base)
