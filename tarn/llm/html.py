@@ -245,6 +245,7 @@ def places(wrapper: Item, pages: int) -> dict[str, bool]:
     of a header within the article only headings stay.
     """
     found: list[tuple[str, Item, list[Item]]] = []
+    weight: dict[int, int] = {}
 
     def walk(item: Item, path: str, above: list[Item]) -> None:
         for kid in item.kids:
@@ -253,18 +254,19 @@ def places(wrapper: Item, pages: int) -> dict[str, bool]:
             elif kid.label == "(":
                 walk(kid, path, above)
             else:
+                if kid.main and not any(x.boiler for x in [*above, kid]):
+                    weight[id(kid)] = 0  # an empty article is one, too
                 walk(kid, f"{path}>{kid.label}", [*above, kid])
 
     def clean(above: list[Item]) -> bool:
         return not any(x.boiler for x in above) and (not any(x.tag == "header" for x in above) or above[-1].tag in _HEADINGS and any(x.main for x in above))
 
     walk(wrapper, "", [])
-    weight: dict[int, int] = {}
     for _, kid, above in found:
         if clean(above):
             for depth, x in enumerate(above):
                 if x.main and not any(y.tag == "article" for y in above[depth + 1 :]):
-                    weight[id(x)] = weight.get(id(x), 0) + kid.size
+                    weight[id(x)] += kid.size
     top = max(weight, key=weight.get) if weight else None
     out: dict[str, bool] = {}
     for path, kid, above in found:
@@ -274,8 +276,16 @@ def places(wrapper: Item, pages: int) -> dict[str, bool]:
 
 
 def cut(html: str, known: dict[str, bool]) -> str:
-    """The article of a page: its blocks joined by an empty line."""
+    """The article of a page: its blocks joined by an empty line.
+
+    A page in which the wrapper's article has no text is judged by itself.
+    """
     root = parse(html)
+    blocks = _blocks(root, known)
+    return "\n\n".join(blocks or _blocks(root, {}) if known else blocks)
+
+
+def _blocks(root: Node, known: dict[str, bool]) -> list[str]:
     own: dict[str, bool] | None = None
     blocks: list[str] = []
     todo: list[tuple[Node | str, str]] = [(x, "") for x in reversed(root.kids)]
@@ -290,7 +300,7 @@ def cut(html: str, known: dict[str, bool]) -> str:
             article = own[path]
         if article:
             blocks.append(node)
-    return "\n\n".join(blocks)
+    return blocks
 
 
 @lru_cache(maxsize=256)
