@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from .common import unplaced
 
-#: Rows of a block.
-BLOCK = 512
+#: Rows of a block, and of a group that is compared together with others.
+BLOCK, FEW = 512, 24
+#: Some groups' rows, and which of them to compare; None: all rows are one group.
+Compare = Callable[[pa.Table, tuple[np.ndarray, np.ndarray] | None], pa.RecordBatch]
 
 
-def in_blocks(keyed: DataFrame, rows: DataFrame, f: Callable[[pa.Table], pa.RecordBatch], schema: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(keyed: DataFrame, rows: DataFrame, f: Compare, schema: str, block: int = BLOCK) -> DataFrame:
     """f for each pair of blocks of every key that two or more rows of ``keyed`` (a, key) share.
 
     ``rows`` has what f needs of each ``a``; f also gets ``key``, the block numbers
     ``x`` <= ``y`` and each row's ``own`` one.  A key of b blocks is dealt to b (b + 1) / 2
-    groups, so no task holds more than about two blocks of a key at once; f compares
-    two different blocks only with each other, a block with itself where x = y.
+    groups, so no task holds more than about two blocks of a key at once; two different
+    blocks are only compared with each other, a block with itself where x = y.  Most
+    groups are a few rows: those of an Arrow batch are given to f together.
     """
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     held = keyed.join(unplaced(sizes, "key"), "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
@@ -29,27 +32,46 @@ def in_blocks(keyed: DataFrame, rows: DataFrame, f: Callable[[pa.Table], pa.Reco
     held = held.select("a", "key", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
     names = ["key", "x", "y"]
 
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        group = np.stack([rows[c].to_numpy() for c in names])
+        start = np.append(0, np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1)
+        size = np.diff(np.append(start, len(rows)))
+        for s, n in zip(start[size > FEW].tolist(), size[size > FEW].tolist()):
+            yield f(rows.slice(s, n).combine_chunks(), None)
+        few = np.repeat(size <= FEW, size)
+        if few.any():
+            rows, size = rows.filter(pa.array(few)).combine_chunks(), size[size <= FEW]
+            left = np.repeat(size, size) - 1 - (np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size))  # rows of the group that follow
+            i = np.repeat(np.arange(len(rows)), left)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+            own, across = rows["own"].to_numpy(), (rows["x"].to_numpy() != rows["y"].to_numpy())[i]
+            good = ~across | (own[i] != own[j])
+            yield f(rows, (i[good], j[good]))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group; the last group of a batch waits for what may follow."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not len(batch):
                 continue
             group = np.stack([batch[c].to_numpy() for c in names])
-            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1).tolist(), len(batch)]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                if held and [held[-1][c][0].as_py() for c in names] != group[:, s].tolist():
-                    yield f(pa.Table.from_batches(held).combine_chunks())
-                    held = []
-                held.append(batch.slice(s, e - s))
+            cut = int(np.flatnonzero((group != group[:, -1:]).any(0)).max(initial=-1)) + 1
+            if held and (cut or [held[-1][c][0].as_py() for c in names] != group[:, 0].tolist()):
+                yield from compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from compare(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
         if held:
-            yield f(pa.Table.from_batches(held).combine_chunks())
+            yield from compare(pa.Table.from_batches(held))
 
     dealt = held.join(rows, "a").repartition(*names).sortWithinPartitions(*names)
     return dealt.mapInArrow(meet, schema)
 
 
 def comparable(rows: pa.Table) -> np.ndarray:
-    """Which rows of a group f is to compare, as a symmetric matrix."""
+    """Which rows of one group are to be compared, as a symmetric matrix."""
     own = rows["own"].to_numpy()
     pairs = own[:, None] != own[None, :] if rows["x"][0] != rows["y"][0] else np.ones((len(own), len(own)), bool)
     np.fill_diagonal(pairs, False)

@@ -154,21 +154,26 @@ def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int, size: int,
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _apart(t: pa.Table, num: int, den: int, enough: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a group in different components whose first shared band this is and that may be similar; their matches."""
+Pairs = tuple[np.ndarray, np.ndarray] | None
+
+
+def _apart(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in different components whose first shared band this is and that may be similar; their matches."""
     c = t["c"].to_numpy()
-    i, j = np.nonzero(np.triu(comparable(t) & (c[:, None] != c[None, :])))
+    i, j = np.nonzero(np.triu(comparable(t))) if pairs is None else pairs
+    other = c[i] != c[j]
+    i, j = i[other], j[other]
     n, sig = t["n_shingles"].to_numpy(), _signature(t["sig"], len(enough) - 1)
     alive, same = _survivors(i, j, sig, sig, n, n, num, den, enough)
     i, j, same = i[alive], j[alive], same[alive]
     keys = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(c), -1)
-    at = int(np.flatnonzero(keys[0] == t["key"][0].as_py())[0])
-    first = ~(keys[i, :at] == keys[j, :at]).any(1)
+    here = (keys == t["key"].to_numpy()[:, None]).argmax(1)
+    first = (keys[i] == keys[j]).argmax(1) == here[i]
     return i[first], j[first], same[first]
 
 
-def _rows_with_survivors(t: pa.Table, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
-    i, j, _ = _apart(t, num, den, enough)
+def _rows_with_survivors(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
+    i, j, _ = _apart(t, pairs, num, den, enough)
     some = pa.array(np.unique(np.concatenate([i, j])))
     return pa.RecordBatch.from_arrays([t[x].combine_chunks().take(some) for x in ("key", "a")], ["key", "a"])
 
@@ -179,9 +184,9 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _links(t: pa.Table, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
+def _links(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
     """Verified links that join components, the most similar tried first; within the group, joined ones are one."""
-    i, j, same = _apart(t, num, den, enough)
+    i, j, same = _apart(t, pairs, num, den, enough)
     order = np.argsort(-same, kind="stable")
     a, sets = t["a"].to_numpy(), [np.frombuffer(x, U) for x in t["hashes"].to_pylist()]
     up = {x: x for x in t["c"].to_pylist()}
@@ -264,9 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     component = apart.groupBy("a").agg(F.min("c").alias("c"))
     rows_of = checkpointed(component.join(classes.withColumnRenamed("id", "a"), "a"))
     enough = least_matches(num / den, bands * rows, miss)
-    near = in_blocks(apart.select("key", "a"), rows_of, lambda t: _rows_with_survivors(t, num, den, enough), "key long, a long").distinct()
+    near = in_blocks(apart.select("key", "a"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long").distinct()
     rows_of = rows_of.join(sets.withColumnRenamed("id", "a"), "a")
-    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t: _links(t, num, den, enough), "a long, b long", 256).distinct())
+    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, num, den, enough), "a long, b long", 256).distinct())
     node = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     ends = late.join(node, late["a"] == node["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b").join(node, F.col("b") == node["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
     above = connected_components(ends).select(F.col("node").alias("_p"), F.col("component").alias("_q"))

@@ -104,14 +104,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
 
     keyed = checkpointed(same.select("a", "v").mapInArrow(hash_rows, "a long, keys array<long>")).select("a", F.explode("keys").alias("key"))
 
-    def forest(rows: pa.Table) -> pa.RecordBatch:
+    def forest(rows: pa.Table, pairs: Pairs) -> pa.RecordBatch:
+        """Links between few rows, of many a forest of them."""
         a = rows["a"].to_numpy()
-        root = a[_labels(_near(rows, threshold))]
-        return pa.RecordBatch.from_arrays([pa.array(a[a != root]), pa.array(root[a != root])], ["a", "b"])
-
-    def count_links(rows: pa.Table) -> pa.RecordBatch:
-        near, copies = _near(rows, threshold), rows["copies"].to_numpy()
-        return pa.RecordBatch.from_arrays([rows["a"].combine_chunks(), pa.array((near @ copies.astype(np.float64)).astype(np.int64))], ["a", "links"])
+        if pairs is None:
+            own = a[_labels(_near(rows, threshold))]
+            a, own = a[a != own], own[a != own]
+        else:
+            i, j = _near_pairs(rows, threshold, *pairs)
+            a, own = a[i], a[j]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(own)], ["a", "b"])
+
+    def count_links(rows: pa.Table, pairs: Pairs) -> pa.RecordBatch:
+        copies = rows["copies"].to_numpy().astype(np.float64)
+        if pairs is None:
+            links = _near(rows, threshold) @ copies
+        else:
+            i, j = _near_pairs(rows, threshold, *pairs)
+            links = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
+        return pa.RecordBatch.from_arrays([rows["a"].combine_chunks(), pa.array(links.astype(np.int64))], ["a", "links"])
 
     shared = in_blocks(keyed, same, forest, "a long, b long").distinct()
     parts = connected_components(shared).select(F.col("node").alias("a"), F.col("component").alias("key"))
@@ -124,11 +135,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
     return out.withColumn("kept", F.coalesce(F.col(ident) == F.col("component_id"), F.lit(True)))
 
 
+Pairs = tuple[np.ndarray, np.ndarray] | None
+
+
 def _near(rows: pa.Table, threshold: float) -> np.ndarray:
-    """Which rows of a pair of blocks are linked."""
+    """Which rows of a group are linked."""
     v = _unit(_matrix(rows["v"].combine_chunks()))
     return (v @ v.T >= threshold) & comparable(rows)
 
 
+def _near_pairs(rows: pa.Table, threshold: float, i: np.ndarray, j: np.ndarray) -> Pairs:
+    """Which of the pairs are linked.  Groups may differ in length: shorter vectors are filled up with zeros."""
+    column = rows["v"].combine_chunks()
+    size = pc.list_value_length(column).to_numpy()
+    v = np.zeros((len(rows), int(size.max(initial=1))))
+    v[np.arange(v.shape[1]) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    v = _unit(v)
+    near = np.concatenate([np.einsum("ij,ij->i", v[i[s : s + 8192]], v[j[s : s + 8192]]) >= threshold for s in range(0, len(i), 8192)] or [np.zeros(0, bool)])
+    return i[near], j[near]
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
