@@ -168,12 +168,23 @@ def test_perfect_hash(library):
 def test_bpe_equals_the_library(library, documents):
     ranks, pattern, enc = library
     coder = bpe.Coder(ranks, pattern, most=500)
-    texts = [t for _, t, _, _ in documents] + ["", " ", "\n\n  x", "<|endoftext|>", "a" * 5000, "é́ 🙂🙂   \x1c\x85", "don't we'LL 'S", "ab" * 3000 + "日本語" * 50, "١٢٣ ²Ⅷ", "﻿​"]
+    texts = [t for _, t, _, _ in documents] + ["", " ", "\n\n  x", "<|endoftext|>", "a" * 5000, "é́ 🙂🙂   \x1c\x85", "don't we'LL 'S", "ab" * 3000 + "日本語" * 50, "١٢٣ ²Ⅷ", "\ufeff\u200b", "a\U00018f2b's \u2003\x85 \U00010edd'll1"]
     for t in texts:
         ids = coder.encode(t)
         assert ids == enc.encode_ordinary(t) and coder.decode(ids) == t.encode()
 
 
+def test_bpe_of_any_characters(library):
+    from random import Random
+
+    ranks, pattern, enc = library
+    coder, r = bpe.Coder(ranks, pattern), Random(7)
+    for _ in range(4000):
+        text = "".join(r.choice(["a", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "\u2003", "é", "日", "1", "²", "'s", "'", "!", "🙂", "the", "x" * r.randrange(9), chr(r.randrange(0x250, 0xD7FF)), chr(r.randrange(0x10000, 0x40000))]) for _ in range(r.randrange(1, 25)))
+        ids = coder.encode(text)
+        assert ids == enc.encode_ordinary(text) and coder.decode(ids) == text.encode()
+
+
 def test_bpe_query_and_edges(spark, data, documents, library):
     ranks, pattern, enc = library
     digest = lambda b: hashlib.sha256(b).hexdigest()
