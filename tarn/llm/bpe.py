@@ -41,12 +41,13 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]):
         import xxhash
 
+        self.hash = xxhash.xxh64_intdigest
         self.keys, n = keys, len(keys)
         self.disp = [0] * max(1, n // 2)
         self.slots = [-1] * n
         buckets: list[list[tuple[int, int]]] = [[] for _ in self.disp]
         for i, k in enumerate(keys):
-            h = xxhash.xxh64_intdigest(k)
+            h = self.hash(k)
             buckets[h % len(self.disp)].append((h, i))
         free = 0
         for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
@@ -66,11 +67,9 @@ class PerfectHash:
 
     def find(self, key: bytes) -> int:
         """The key's index, -1 if it isn't one."""
-        import xxhash
-
         if not self.keys:
             return -1
-        h = xxhash.xxh64_intdigest(key)
+        h = self.hash(key)
         d = self.disp[h % len(self.disp)]
         i = self.slots[-d - 1 if d < 0 else _mix(h, d) % len(self.keys)]
         return i if self.keys[i] == key else -1
@@ -88,13 +87,19 @@ _LATER = (
 
 
 class Coder(dict):
-    """Maps pre-tokens to tuples of ids; itself the bounded table of those seen."""
+    """Maps pre-tokens to tuples of ids; itself the table of those seen lately.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
+    At ``most`` entries it becomes the elder table, from which those still in use come
+    back, so there are twice as many at most and frequent ones are never lost.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
         import regex
 
         super().__init__()
         self.ranks, self.most = ranks, most
+        self.elder: dict[str, tuple[int, ...]] = {}
+        self.single = [bytes([i]) for i in range(256)]
         self.whole = PerfectHash(list(ranks))
         self.ids = list(ranks.values())
         self.bytes = {i: b for b, i in ranks.items()}
@@ -106,19 +111,26 @@ class Coder(dict):
         self.careful, self.later = regex.compile(pattern, regex.V1).findall, regex.compile(f"[{_LATER}]").search
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        i = self.whole.find(raw)
-        found = (self.ids[i],) if i >= 0 else self.merge(raw)
-        if len(raw) <= 64:
-            self[piece] = found
+        found = self.elder.get(piece)
+        if found is None:
+            raw = piece.encode()
+            i = self.whole.find(raw)
+            found = (self.ids[i],) if i >= 0 else self.merge(raw)
+            if len(raw) > 64:
+                return found
+        self[piece] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.elder = {}
+
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Merge the pair of lowest rank, the leftmost first, until no pair is an entry."""
-        n, ranks = len(raw), self.ranks
-        parts: list[bytes | None] = [raw[i : i + 1] for i in range(n)]
+        n, rank = len(raw), self.ranks.get
+        parts: list[bytes | None] = list(map(self.single.__getitem__, raw))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
         heapify(heap)
         while heap:
             _, i, size = heappop(heap)
@@ -129,11 +141,11 @@ class Coder(dict):
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := ranks.get(left + parts[k])) is not None:
+                if (r := rank(left + parts[k])) is not None:
                     heappush(heap, (r, i, size + len(parts[k])))
-            if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + left)) is not None:
+            if (h := before[i]) >= 0 and (r := rank(parts[h] + left)) is not None:
                 heappush(heap, (r, h, len(parts[h]) + size))
-        return tuple(ranks[p] for p in parts if p is not None)
+        return tuple([rank(p) for p in parts if p is not None])
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
@@ -146,6 +158,7 @@ class Coder(dict):
 
     def encode(self, text: str) -> list[int]:
         if len(self) > self.most:
+            self.elder = dict(self)
             self.clear()
         return list(chain.from_iterable(map(self.__getitem__, self.pieces(text))))
 
@@ -195,7 +208,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "i
                 if decoded:
                     columns.append(pa.array([coder.decode(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
-        coder.clear()
+        coder.forget()
         release()
 
     return src.mapInArrow(run, schema)

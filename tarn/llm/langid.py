@@ -64,13 +64,15 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
-    x, y = presence(texts), np.array([[1.0 if a == b else 0.0 for b in languages] for a in langs])
+    y = np.array([[1.0 if a == b else 0.0 for b in languages] for a in langs])
     seen: dict[str, int] = {}
     at = [i for i, a in enumerate(langs) if seen.setdefault(a, 0) < landmarks and not seen.update({a: seen[a] + 1})]
-    nm = (x @ x[at].T).astype(float)
+    # A few texts' rows at a time: they are wide.
+    span = np.concatenate([presence([texts[i] for i in at[s : s + 64]]) for s in range(0, len(at), 64)])
+    nm = np.concatenate([presence(texts[s : s + 64]) @ span.T for s in range(0, len(texts), 64)]).astype(float)
     mm = nm[at]
-    dual = np.linalg.lstsq(nm.T @ nm + ridge * len(x) * mm + 1e-9 * len(x) * np.eye(len(at)), nm.T @ y, rcond=None)[0]
-    return Model(languages, (x[at].T @ dual).astype(np.float32))
+    dual = np.linalg.lstsq(nm.T @ nm + ridge * len(texts) * mm + 1e-9 * len(texts) * np.eye(len(at)), nm.T @ y, rcond=None)[0]
+    return Model(languages, (span.T @ dual).astype(np.float32))
 
 
 def remainder(doc_id: Column) -> Column:
