@@ -41,8 +41,11 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _NEVER = set("aside audio button canvas dialog fieldset footer form head iframe menu nav noembed noframes noscript object option optgroup script search select style svg template textarea title video".split())
 _ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _WORDS = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer form gdpr header masthead login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adv alert aside breadcrumb breadcrumbs consent copyright disclaimer discussion disqus feedback form gdpr hidden legal login masthead modal notice notices notification overlay pager pagination popup rail recommended related replies reply respond responses search share sharing side signup social subscribe subscription toolbar widget widgets".split()
 )
+_STARTS, _TAILS = ("advert", "comment", "cookie", "newsletter", "promo", "sponsor"), ("banner", "footer", "menu", "menus", "nav", "navbar", "navigation", "sidebar")
+#: Words of class or id of what holds the article where no element says so.
+_CONTENT = set("article content entry main post story".split())
 
 
 @dataclass
@@ -50,21 +53,28 @@ class Node:
     label: str
     tag: str
     boiler: bool = False
-    main: bool = False
+    #: A header, of which only headings can be part of an article.
+    header: bool = False
+    #: 3 for an article, 2 for a main element, 1 for a class that says so, else 0.
+    main: int = 0
     kids: list = field(default_factory=list)
 
 
 def _open(tag: str, attributes: str) -> Node:
     """The label of an element has its words of class, and whether it can be the article or never is."""
+    main = 3 if tag == "article" else 2 if tag == "main" else 0
     if not attributes.strip(" />\t\n\r\f"):
-        return Node(tag, tag, tag in _NEVER, tag in ("article", "main"))
+        return Node(tag, tag, tag in _NEVER, tag == "header", main)
     have = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes.rstrip(">"))}
     words = [w for k in ("class", "id") for w in _WORD.findall(have.get(k, "").lower())]
     role = have.get("role", "").lower()
     hidden = "hidden" in have or have.get("aria-hidden") == "true" or "display:none" in have.get("style", "").replace(" ", "").lower()
     label = ".".join([tag, *words]) + (f"@{role}" if role else "") + ("!" if hidden else "")
-    boiler = tag in _NEVER or role in _ROLES or hidden or tag not in ("html", "body", "main") and bool(_WORDS.intersection(words))
-    return Node(label, tag, boiler, tag in ("article", "main") or role in ("article", "main") or have.get("itemprop") == "articleBody")
+    boiler = tag in _NEVER or role in _ROLES or hidden
+    if tag not in ("html", "body", "main"):
+        boiler = boiler or bool(_WORDS.intersection(words)) or any(w.startswith(_STARTS) or w.endswith(_TAILS) for w in words)
+        main = max(main, 3 if role == "article" or have.get("itemprop") == "articleBody" else 2 if role == "main" else int(bool(_CONTENT.intersection(words)) and tag in ("div", "section", "td")))
+    return Node(label, tag, boiler, tag == "header" or "header" in words and tag in ("div", "section"), main)
 
 
 def parse(html: str) -> Node:
@@ -140,7 +150,8 @@ class Item:
     optional: bool = False
     repeated: bool = False
     boiler: bool = False
-    main: bool = False
+    header: bool = False
+    main: int = 0
     tag: str = ""
     size: int = 0
 
@@ -156,12 +167,12 @@ class Item:
 def _of_page(node: Node | str) -> Item:
     if isinstance(node, str):
         return Item("#", text=node, size=len(node))
-    return Item(node.label, _fold([_of_page(x) for x in node.kids]), boiler=node.boiler, main=node.main, tag=node.tag)
+    return Item(node.label, _fold([_of_page(x) for x in node.kids]), boiler=node.boiler, header=node.header, main=node.main, tag=node.tag)
 
 
 def _merge(a: Item, b: Item) -> Item:
     """The least wrapper of both: equal labels, different texts become a slot."""
-    return Item(a.label, _align(a.kids, b.kids), a.text if a.text == b.text else None, a.optional or b.optional, a.repeated or b.repeated, a.boiler, a.main, a.tag, max(a.size, b.size))
+    return Item(a.label, _align(a.kids, b.kids), a.text if a.text == b.text else None, a.optional or b.optional, a.repeated or b.repeated, a.boiler, a.header, a.main, a.tag, max(a.size, b.size))
 
 
 def _fold(items: list[Item]) -> list[Item]:
@@ -240,11 +251,13 @@ def infer(pages: list[str]) -> Item:
 def places(wrapper: Item, pages: int) -> dict[str, bool]:
     """For each path to a text, whether it belongs to the article.
 
-    That is what lies in the article or main element with most text; without one, all
-    slots of the page.  Elements that never are part of an article are left out, and
-    of a header within the article only headings stay.
+    That is what lies in the article with most text, else in the main element, else in
+    the innermost element of such a class that has nearly all the text of any; without
+    one, all slots of the page.  Elements that never are part of an article are left
+    out, and of a header within the article only headings stay.
     """
     found: list[tuple[str, Item, list[Item]]] = []
+    holders: list[tuple[Item, int]] = []
     weight: dict[int, int] = {}
 
     def walk(item: Item, path: str, above: list[Item]) -> None:
@@ -256,18 +269,24 @@ def places(wrapper: Item, pages: int) -> dict[str, bool]:
             else:
                 if kid.main and not any(x.boiler for x in [*above, kid]):
                     weight[id(kid)] = 0  # an empty article is one, too
+                    holders.append((kid, len(above)))
                 walk(kid, f"{path}>{kid.label}", [*above, kid])
 
     def clean(above: list[Item]) -> bool:
-        return not any(x.boiler for x in above) and (not any(x.tag == "header" for x in above) or above[-1].tag in _HEADINGS and any(x.main for x in above))
+        return not any(x.boiler for x in above) and (not any(x.header for x in above) or above[-1].tag in _HEADINGS and any(x.main for x in above))
 
     walk(wrapper, "", [])
     for _, kid, above in found:
         if clean(above):
-            for depth, x in enumerate(above):
-                if x.main and not any(y.tag == "article" for y in above[depth + 1 :]):
+            for x in above:
+                if x.main:
                     weight[id(x)] += kid.size
-    top = max(weight, key=weight.get) if weight else None
+    top = None
+    for tier in (3, 2, 1):
+        if own := [(x, depth) for x, depth in holders if x.main == tier and (tier > 1 or weight[id(x)])]:
+            most = max(weight[id(x)] for x, _ in own)
+            top = id(max((x for x in own if weight[id(x[0])] >= (most if tier > 1 else 0.8 * most)), key=lambda x: x[1])[0])
+            break
     out: dict[str, bool] = {}
     for path, kid, above in found:
         own = clean(above) and (any(id(x) == top for x in above) if top is not None else kid.text is None or pages < 2)

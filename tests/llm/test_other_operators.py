@@ -57,6 +57,9 @@ def test_what_belongs_to_the_article():
         ("<article>a &amp b &am c &#x41; &bogus;</article>", "a & b &am c A &bogus;"),
         ("<nav>menu</nav><footer>foot</footer>", ""),
         ("<article></article><p>outside", ""),
+        ("<div class='main wrap'><div id=post-content><div class=entry-header><h1>t</h1><p>by</p></div><p>text of the article</div><p>more</div>", "t\n\ntext of the article"),
+        ("<div class=topnav>n</div><div class=text>a</div><div class='side-bar'>s</div><div class=comment-list>c</div><div class=cookiebar>k</div>", "a"),
+        ("<main><div class=teaser>t</div><article>a</article><article class=comment>c</article></main>", "a"),
         ("<div>a<div>b</div>c</div>", "a\n\nb\n\nc"),
         ("<ARTICLE><P>x</P></ARTICLE><p>outside", "x"),
         ("<body><textarea><article>no</article></textarea><main>m</main>", "m"),
