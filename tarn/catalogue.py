@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators.engine import Engine
 from .operators.metadata import column_stats, partition_values, table_counts
-from .sources.lake import Catalog, discover, read_text, write_text
+from .sources.lake import Catalog, LakeTable, discover, read_text, write_text
 from .sources.scratch import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,10 @@ _lakes: dict[tuple[str, str], str] = {}
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> Engine:
-    """The Parquet tables as they are."""
+    """The Parquet tables as they are; each is opened when a query asks for it."""
     catalog = Catalog(spark)
     for name in ("part", "customer", "orders", "events", "documents"):
-        catalog.add(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        catalog.tables[name] = LakeTable(name, f"{sf_dir}/{name}.parquet", (), "parquet")
     return Engine(catalog)
 
 
