@@ -68,13 +68,35 @@ def like_quantified(col: Column, quantifier: str, patterns: Iterable[str], diale
     compiled = subsumed(compiled, keep_longest=quantifier == "ALL_LIKE")
     if not compiled:
         return F.lit(quantifier != "ANY_LIKE")
-    terms = [matches(col, p, dialect == "reference") for p in compiled]
     if quantifier == "ALL_LIKE":
-        return _balanced(and_, terms)
-    anyone = _balanced(or_, terms)
+        return _balanced(and_, [matches(col, p, dialect == "reference") for p in compiled])
+    sets, compiled = _in_sets(col, compiled)
+    anyone = _balanced(or_, sets + [matches(col, p, dialect == "reference") for p in compiled])
     return anyone if quantifier == "ANY_LIKE" else ~anyone
 
 
+#: Beyond so many constants, prefixes or suffixes, they are looked up by hash instead of one after another.
+MANY = 16
+
+
+def _in_sets(col: Column, patterns: list[Pattern]) -> tuple[list[Column], list[Pattern]]:
+    """Set lookups for kinds of which there are many, one for each length; the patterns that are left."""
+    terms: list[Column] = []
+    for kind in (Kind.CONST, Kind.PREFIX, Kind.SUFFIX):
+        own = {p for p in patterns if p.kind == kind and not p.wild and p.literal}
+        if len(own) <= MANY:
+            continue
+        patterns = [p for p in patterns if p not in own]
+        by_length: dict[int, list[str]] = {}
+        for p in own:
+            by_length.setdefault(0 if kind == Kind.CONST else len(p.literal), []).append(p.literal)
+        for n, values in sorted(by_length.items()):
+            part = col if not n else F.substring(col, 1, n) if kind == Kind.PREFIX else F.substring(col, -n, n)
+            # A shorter text's end is the whole text, which has another length than the suffixes.
+            terms.append(part.isin(sorted(values)))
+    return terms, patterns
+
+
 def subsumed(patterns: list[Pattern], keep_longest: bool) -> list[Pattern]:
     """Without patterns that others make redundant: of prefixes a%, ab% an OR needs the shortest, an AND the longest.
 

@@ -60,6 +60,24 @@ def test_a_row_counts_once_however_many_patterns_it_matches(engine):
 def test_hundreds_of_patterns(engine):
     patterns = [f"q{i}%" for i in range(400)] + ["old%"]
     assert names(engine, "ANY_LIKE", patterns) == {"old gear"}
+    assert names(engine, "NONE_LIKE", patterns) == set(NAMES) - {"old gear"}
+    ends = [f"%q{i}" for i in range(40)] + ["%lt", "%xx old gear", "%d"]
+    assert names(engine, "ANY_LIKE", ends) == {"red bolt", "blue bolt"}
+    whole = [f"q{i}" for i in range(40)] + ["reddish", ""]
+    assert names(engine, "ANY_LIKE", whole, "sql") == {"reddish", ""}
+
+
+def test_many_patterns_match_as_few_do(spark):
+    from random import Random
+
+    r = Random(4)
+    text = lambda most: "".join(r.choice("abé日") for _ in range(r.randrange(1, most)))
+    values = [text(6) for _ in range(300)] + [""]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for make, test in ((lambda x: x + "%", str.startswith), (lambda x: "%" + x, str.endswith), (str, str.__eq__)):
+        pieces = [text(4) for _ in range(60)]
+        got = {x["v"] for x in df.where(like_quantified(F.col("v"), "ANY_LIKE", map(make, pieces))).collect()}
+        assert got == {v for v in values if any(test(v, p) for p in pieces)}
 
 
 def test_subsumption():
