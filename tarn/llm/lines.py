@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, table, unplaced
+from .common import SPACES, ascii_lower, checkpointed, table, unplaced
 
 
 def _lines(text: Column) -> Column:
@@ -35,6 +35,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     lines = lines.where(F.length("_line") >= min_chars).select("_d", "_t", "_p", F.btrim("_line", F.lit(SPACES)).alias("_k"))
     lines = lines.where(F.length("_k") >= min_chars).select("_d", "_t", "_p", ascii_lower(F.col("_k")).alias("_k"))
     lines = lines.select("_d", "_t", "_p", F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(8), "_k").alias("_h2"))
+    lines = checkpointed(lines)  # read twice, and far smaller than the texts
     # One row per key and document first, so a line in a third of all documents is counted in parts.
     held = lines.groupBy("_h1", "_h2", "_d").agg(F.lit(1).alias("_one"))
     common = held.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"), F.max("_d").alias("_last")).where(F.col("_n") >= min_docs)
