@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path.
+
+    Unlike a checkpoint it is planned with its real size.  In a loop of joins that
+    matters: estimates would be multiplied in every round until they are numbers of
+    millions of digits.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def unplaced(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` (bigint keys) as if it weren't dealt by the keys it was grouped by.
 
@@ -46,20 +65,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternates large-star and small-star steps (Kiveris et al., 2014).  Minima are
     partial aggregates joined back on the node, so a hub of any degree is never
-    gathered into one task; each round is checkpointed.  Nulls and self loops are
+    gathered into one task; each round is written to a table in the shared folder.  Nulls and self loops are
     ignored, repeated edges count once.  An empty input gives an empty result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = checkpointed(e)
+    e, path = stored(e)
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = unplaced(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(unplaced(low, "u"), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = checkpointed(small.where("u > v").distinct())
+        last, (e, path) = path, stored(small.where("u > v").distinct())
+        drop_stored(e.sparkSession, last)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.lit(0)), F.count_distinct("v")).first()
         if tuple(now) == before:
             break

@@ -363,16 +363,16 @@ def extract(pages: DataFrame, sample: int = SAMPLE, out: str = "text") -> DataFr
     each get their text; other columns pass through.
     """
     names = [c for c in pages.columns if c != out]
-    made = checkpointed(wrappers(pages, sample).select(F.concat(F.lit("//"), "host").alias("_host"), "places"))
+    made = checkpointed(wrappers(pages, sample).select(F.concat(F.lit("//"), "host").alias("_host"), F.col("places").alias("_places")))
     few = small(made, 2000)
     joined = pages.select(*names, F.col("html").alias("_html"), F.concat(F.lit("//"), host(F.col("url"))).alias("_key"))
-    joined = joined.join(few(made), F.col("_key") == F.col("_host"), "left").select(*names, "_html", "places")
+    joined = joined.join(few(made), F.col("_key") == F.col("_host"), "left").select(*names, "_html", "_places")
     schema = T.StructType([*pages.select(*names).schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_html", 4 << 20):
-                texts = [cut(h, _read(p)) if h else "" for h, p in zip(part["_html"].to_pylist(), part["places"].to_pylist())]
+                texts = [cut(h, _read(p)) if h else "" for h, p in zip(part["_html"].to_pylist(), part["_places"].to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in names), pa.array(texts, pa.string())], schema.names)
 
     return joined.mapInArrow(run, schema)

@@ -269,9 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     component = apart.groupBy("a").agg(F.min("c").alias("c"))
     rows_of = checkpointed(component.join(classes.withColumnRenamed("id", "a"), "a"))
     enough = least_matches(num / den, bands * rows, miss)
-    near = in_blocks(apart.select("key", "a"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long").distinct()
+    near = in_blocks(apart.select("key", "a"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long", 256).distinct()
     rows_of = rows_of.join(sets.withColumnRenamed("id", "a"), "a")
-    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, num, den, enough), "a long, b long", 256).distinct())
+    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, num, den, enough), "a long, b long", 128).distinct())
     node = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     ends = late.join(node, late["a"] == node["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b").join(node, F.col("b") == node["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
     above = connected_components(ends).select(F.col("node").alias("_p"), F.col("component").alias("_q"))

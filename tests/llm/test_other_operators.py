@@ -83,7 +83,7 @@ def test_wrapper_of_differing_pages():
 
 def test_pages_edges(spark):
     made = [(1, None, PAGE, 0), (2, "", None, 0), (3, "http://h/x", "", 0), (4, "HTTP://user@H:80/y?z", "<p>one", 0), (4, "HTTP://user@H:80/y?z", "<p>one", 0), (None, "nonsense", "<article>x", 0), (5, "http://h/", "<article>" + "<p>long text " * 20_000, 0)]
-    df = spark.createDataFrame(made, "page_id long, url string, html string, text int")
+    df = spark.createDataFrame(made, "page_id long, url string, html string, text int").selectExpr("*", "1 AS host", "2 AS places")
     out = html.extract(df).collect()
     got = {r["page_id"]: r["text"] for r in out}
     assert len(out) == len(made) and got[1] == "\n\n".join(TEXT) and got[2] == got[3] == "" and got[4] == "one" and got[None] == "x"
