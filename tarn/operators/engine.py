@@ -104,6 +104,15 @@ class Engine:
         return out
 
 
+    def timed(self, queries: Iterable[CountQuery | str]) -> list[tuple[int, float]]:
+        """Each query on its own, in order: its count and its seconds."""
+        out = []
+        for q in queries:
+            began = time.time()
+            out.append((self.count(q).first()["n"], time.time() - began))
+        return out
+
+
 def run_files(spark: SparkSession, lake: str, query_file: str, out_file: str, dialect: str = "reference") -> dict[str, float]:
     """Answer a file of queries over a lake; gives the seconds of discovery (build), search and both.
 

@@ -104,6 +104,9 @@ def test_partitions_are_pruned(spark, lake):
     assert "PartitionFilters: [isnotnull(p" in text and "> 10" in text
     text = plan(engine.count("t column0 > '' p ANY_LIKE ['1%','%9']"))
     assert "StartsWith(p" in text.split("PartitionFilters")[1]
+    # Two conditions on keys read no column at all.
+    text = plan(engine.count("t p = '9' q ALL_LIKE ['x%']"))
+    assert "ReadSchema: struct<>" in text and "StartsWith(q" in text.split("PartitionFilters")[1]
 
 
 def test_filters_and_columns_reach_parquet(spark, lake, tmp_path):
