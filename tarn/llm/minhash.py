@@ -25,6 +25,8 @@ from .words import U, chunks, inverse, mix, powers, release, runs, words, _Q
 
 #: Signature values compared before each decision.
 BATCH = 30
+#: Pairs compared at a time.
+PAIRS = 1 << 17
 
 
 def rows_per_band(threshold: float, bands: int, miss: float) -> int:
@@ -124,15 +126,18 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _survivors(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int, enough: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs (x[i], y[j]) of signatures of sets of n[i] and m[j], those that may be similar, and their matches."""
+    """Of pairs (x[i], y[j]) of signatures of sets of n[i] and m[j], those that may be similar, and all matches."""
     a, b = n[i], m[j]
-    alive = np.flatnonzero(np.minimum(a, b) * den >= np.maximum(a, b) * num)
-    same = np.zeros(len(i), np.int64)
-    for at in range(0, x.shape[1], BATCH):
-        to = min(x.shape[1], at + BATCH)
-        same[alive] += (x[i[alive], at:to] == y[j[alive], at:to]).sum(1)
-        alive = alive[same[alive] >= enough[to]]
-    return alive, same
+    fit = np.flatnonzero(np.minimum(a, b) * den >= np.maximum(a, b) * num)
+    same, out = np.zeros(len(i), np.int64), []
+    for s in range(0, len(fit), PAIRS):
+        alive = fit[s : s + PAIRS]
+        for at in range(0, x.shape[1], BATCH):
+            to = min(x.shape[1], at + BATCH)
+            same[alive] += (x[i[alive], at:to] == y[j[alive], at:to]).sum(1)
+            alive = alive[same[alive] >= enough[to]]
+        out.append(alive)
+    return np.concatenate(out) if out else fit, same
 
 
 def _signature(column: pa.Array, size: int) -> np.ndarray:
@@ -269,9 +274,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     component = apart.groupBy("a").agg(F.min("c").alias("c"))
     rows_of = checkpointed(component.join(classes.withColumnRenamed("id", "a"), "a"))
     enough = least_matches(num / den, bands * rows, miss)
-    near = in_blocks(apart.select("key", "a"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long", 256).distinct()
+    near = in_blocks(apart.select("key", "a"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long", 1024).distinct()
     rows_of = rows_of.join(sets.withColumnRenamed("id", "a"), "a")
-    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, num, den, enough), "a long, b long", 128).distinct())
+    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, num, den, enough), "a long, b long", 512).distinct())
     node = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     ends = late.join(node, late["a"] == node["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b").join(node, F.col("b") == node["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
     above = connected_components(ends).select(F.col("node").alias("_p"), F.col("component").alias("_q"))
