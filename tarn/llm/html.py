@@ -2,9 +2,9 @@
 
 Some pages of a host are aligned one after another.  Where their element streams differ,
 the wrapper gets a text slot, an optional part or a repeated group; what stays the same
-text is template.  The wrapper tells which places hold the article; every page of the
-host is then cut at these places.  Places that no sampled page had are judged as in a
-wrapper of that page alone.
+text on every page of the host, sampled or not, is template.  The wrapper tells which
+places hold the article; every page of the host is then cut at these places.  Places
+that no sampled page had are judged as in a wrapper of that page alone.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -154,6 +155,8 @@ class Item:
     main: int = 0
     tag: str = ""
     size: int = 0
+    #: A bit for each sampled page that a text was seen in.
+    pages: int = 0
 
     @property
     def name(self) -> str:
@@ -164,15 +167,15 @@ class Item:
         return own + ("*" if self.optional and self.repeated else "?" if self.optional else "+" if self.repeated else "")
 
 
-def _of_page(node: Node | str) -> Item:
+def _of_page(node: Node | str, bit: int = 1) -> Item:
     if isinstance(node, str):
-        return Item("#", text=node, size=len(node))
-    return Item(node.label, _fold([_of_page(x) for x in node.kids]), boiler=node.boiler, header=node.header, main=node.main, tag=node.tag)
+        return Item("#", text=node, size=len(node), pages=bit)
+    return Item(node.label, _fold([_of_page(x, bit) for x in node.kids]), boiler=node.boiler, header=node.header, main=node.main, tag=node.tag)
 
 
 def _merge(a: Item, b: Item) -> Item:
     """The least wrapper of both: equal labels, different texts become a slot."""
-    return Item(a.label, _align(a.kids, b.kids), a.text if a.text == b.text else None, a.optional or b.optional, a.repeated or b.repeated, a.boiler, a.header, a.main, a.tag, max(a.size, b.size))
+    return Item(a.label, _align(a.kids, b.kids), a.text if a.text == b.text else None, a.optional or b.optional, a.repeated or b.repeated, a.boiler, a.header, a.main, a.tag, max(a.size, b.size), a.pages | b.pages)
 
 
 def _fold(items: list[Item]) -> list[Item]:
@@ -242,8 +245,8 @@ def _align(a: list[Item], b: list[Item]) -> list[Item]:
 def infer(pages: list[str]) -> Item:
     """The wrapper of some pages, each aligned with the wrapper of those before it."""
     wrapper: Item | None = None
-    for html in pages:
-        page = _of_page(parse(html))
+    for i, html in enumerate(pages):
+        page = _of_page(parse(html), 1 << i)
         wrapper = page if wrapper is None else _merge(wrapper, page)
     return wrapper or Item("")
 
@@ -253,9 +256,15 @@ def places(wrapper: Item, pages: int) -> dict[str, bool]:
 
     That is what lies in the article with most text, else in the main element, else in
     the innermost element of such a class that has nearly all the text of any; without
-    one, all slots of the page.  Elements that never are part of an article are left
-    out, and of a header within the article only headings stay.
+    one, all of the page but the texts that are the same on all ``pages``.  Elements
+    that never are part of an article are left out, and of a header within the article
+    only headings stay.
     """
+    return _judge(wrapper, pages)[0]
+
+
+def _judge(wrapper: Item, pages: int) -> tuple[dict[str, bool], dict[str, list[str]]]:
+    """``places``, and the digests of the texts at each path that is only left out as they are on all ``pages``."""
     found: list[tuple[str, Item, list[Item]]] = []
     holders: list[tuple[Item, int]] = []
     weight: dict[int, int] = {}
@@ -287,11 +296,35 @@ def places(wrapper: Item, pages: int) -> dict[str, bool]:
             most = max(weight[id(x)] for x, _ in own)
             top = id(max((x for x in own if weight[id(x[0])] >= (most if tier > 1 else 0.8 * most)), key=lambda x: x[1])[0])
             break
+    seen: dict[tuple[str, str | None], int] = {}
+    for path, kid, _ in found:
+        seen[path, kid.text] = seen.get((path, kid.text), 0) | kid.pages
     out: dict[str, bool] = {}
+    fixed: dict[str, set[str]] = {}
     for path, kid, above in found:
-        own = clean(above) and (any(id(x) == top for x in above) if top is not None else kid.text is None or pages < 2)
+        own = clean(above) and (any(id(x) == top for x in above) if top is not None else kid.text is None or pages < 2 or seen[path, kid.text] != (1 << pages) - 1)
         out[path] = out.get(path, False) or own
-    return out
+        if top is None and clean(above) and not own:
+            fixed.setdefault(path, set()).add(_digest(kid.text))
+    return out, {path: sorted(texts) for path, texts in fixed.items() if not out[path]}
+
+
+def _digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def _texts(root: Node) -> dict[str, set[str]]:
+    """The texts of a page by path."""
+    found: dict[str, set[str]] = {}
+    todo: list[tuple[Node | str, str]] = [(root, "")]
+    while todo:
+        node, path = todo.pop()
+        for kid in node.kids:
+            if isinstance(kid, str):
+                found.setdefault(path, set()).add(kid)
+            else:
+                todo.append((kid, f"{path}>{kid.label}"))
+    return found
 
 
 def cut(html: str, known: dict[str, bool]) -> str:
@@ -323,7 +356,7 @@ def _blocks(root: Node, known: dict[str, bool]) -> list[str]:
 
 
 @lru_cache(maxsize=256)
-def _read(wrapper: str | None) -> dict[str, bool]:
+def _read(wrapper: str | None) -> dict:
     return json.loads(wrapper) if wrapper else {}
 
 
@@ -337,7 +370,8 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Made from at most ``sample`` pages of a host, of each bucket of page_id's hash the
     page of the smallest hash; the minimum is taken before the shuffle, so a host of any
-    size is no burden.
+    size is no burden.  A text that is template by these is looked for in all pages of
+    the host; where one with any text has not just the same at that path, it is the article's.
     """
     hashed = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "html").alias("h"), "html").where(F.col("html").isNotNull())
     picks = hashed.groupBy("host", F.pmod("h", F.lit(sample)).alias("b")).agg(F.min("h").alias("h"))
@@ -347,11 +381,36 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         rows = group.sort_by("h")
-        texts = rows["html"].to_pylist()
+        texts = [t for t in rows["html"].to_pylist() if _texts(parse(t))]
         w = infer(texts)
-        return pa.table({"host": [rows["host"][0].as_py()], "pattern": [str(w)], "places": [json.dumps(places(w, len(texts)))]})
+        known, fixed = _judge(w, len(texts))
+        return pa.table({"host": [rows["host"][0].as_py()], "pattern": [str(w)], "places": [json.dumps(known)], "fixed": pa.array([json.dumps(fixed) if fixed else None], pa.string())})
+
+    made = checkpointed(some.groupBy("host").applyInArrow(run, "host string, pattern string, places string, fixed string"))
+    claims = made.where("fixed IS NOT NULL").select(F.col("host").alias("_host"), "fixed")
+    if claims.isEmpty():
+        return made.drop("fixed")
+    few = small(claims, 2000)
+    asked = hashed.join(few(claims), F.col("host") == F.col("_host")).select("host", "html", "fixed")
+
+    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "html", 4 << 20):
+                found: dict[str, set[str]] = {}
+                for name, page, claim in zip(part["host"].to_pylist(), part["html"].to_pylist(), part["fixed"].to_pylist()):
+                    gone, fixed = found.setdefault(name, set()), _read(claim)
+                    if len(gone) < len(fixed) and (own := _texts(parse(page))):
+                        gone.update(p for p, texts in fixed.items() if p not in gone and sorted(map(_digest, own.get(p, ()))) != texts)
+                rows = [(name, p) for name, gone in found.items() for p in gone]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["_host", "path"])
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [json.dumps(json.loads(old) | dict.fromkeys(paths or (), True)) for old, paths in zip(batch["places"].to_pylist(), batch["paths"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["host"], batch["pattern"], pa.array(known, pa.string())], ["host", "pattern", "places"])
 
-    return some.groupBy("host").applyInArrow(run, "host string, pattern string, places string")
+    paths = asked.mapInArrow(differing, "_host string, path string").groupBy("_host").agg(F.collect_set("path").alias("paths"))
+    return made.join(paths, F.col("host") == F.col("_host"), "left").select("host", "pattern", "places", "paths").mapInArrow(freed, "host string, pattern string, places string")
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE, out: str = "text") -> DataFrame:

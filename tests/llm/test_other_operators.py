@@ -81,6 +81,29 @@ def test_wrapper_of_differing_pages():
     assert "(<h3>#</> <p>#</>)+" in str(html.infer(["<div><h3>a</h3><p>b</p><h3>c</h3><p>d</p><h3>e</h3><p>f</p></div>"]))
 
 
+def boxed(title, *body):
+    return f"<body><div class=box><h2>{title}</h2>{''.join(body)}</div><p>All rights reserved</p></body>"
+
+
+def test_text_of_one_page_is_no_template():
+    pages = [boxed("t1", "<p>a</p><p>b</p>", "<blockquote>Quote one</blockquote>"), boxed("t2", "<p>c</p><p>d</p>"), boxed("t3", "<p>e</p><p>f</p>")]
+    places = html.places(html.infer(pages), 3)
+    assert [html.cut(p, places) for p in pages] == ["t1\n\na\n\nb\n\nQuote one", "t2\n\nc\n\nd", "t3\n\ne\n\nf"]
+    assert html.cut(boxed("t4", "<p>g</p>", "<blockquote>Another</blockquote>"), places) == "t4\n\ng\n\nAnother"
+
+
+def test_template_is_the_same_on_all_pages_of_the_host(spark):
+    # All pages but one of the 60 have the same h3, so no sample of 8 that misses the one can tell.
+    made = [(i, f"http://{h}/{i}", boxed(f"t{i}", f"<p>a{i}</p><p>b{i}</p>", "<h3>Notes</h3>" if h == "same" or i != odd else "<h3>Other notes</h3>", f"<pre>c{i}</pre>" if i == 7 else "")) for odd, h in ((11, "one"), (12, "two"), (13, "three"), (0, "same")) for i in range(60)]
+    made += [(100, "http://same/100", ""), (101, "http://same/101", None), (102, "http://same/102", "<body></body>")]  # no text, so nothing that differs
+    got = {(r["url"]): r["text"] for r in html.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(made) and not any("All rights" in x for x in got.values())
+    for i, url, page in made:
+        if i < 60:
+            notes = [] if "//same/" in url else ["Other notes" if "Other" in page else "Notes"]
+            assert got[url].split("\n\n") == [f"t{i}", f"a{i}", f"b{i}", *notes, *([f"c{i}"] if i == 7 else [])]
+
+
 def test_pages_edges(spark):
     made = [(1, None, PAGE, 0), (2, "", None, 0), (3, "http://h/x", "", 0), (4, "HTTP://user@H:80/y?z", "<p>one", 0), (4, "HTTP://user@H:80/y?z", "<p>one", 0), (None, "nonsense", "<article>x", 0), (5, "http://h/", "<article>" + "<p>long text " * 20_000, 0)]
     df = spark.createDataFrame(made, "page_id long, url string, html string, text int").selectExpr("*", "1 AS host", "2 AS places")
