@@ -42,7 +42,7 @@ def _window_runs(column: pa.Array, length: int, seed: int):
     span, wide = length - seed + 1, 1
     while wide < span:
         step = min(wide, span - wide)
-        low = np.minimum(low[: len(low) - step], low[step:])
+        low = np.minimum(low[: max(0, len(low) - step)], low[step:])
         wide += step
     _, first, back, count = np.unique(h[at], return_index=True, return_inverse=True, return_counts=True)
     twice = at[count[back] > 1]

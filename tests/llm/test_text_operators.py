@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tarn.llm import bpe, langid, minhash, substrings, words
@@ -149,6 +150,14 @@ def test_substring_edges(spark, monkeypatch, part, hot):
     assert substrings.drop_repeats(frame(spark, []), 10).count() == 0
 
 
+def test_substrings_of_single_short_documents(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "PART", 1)  # each document is a part of its own
+    docs = [(n, " ".join(f"w{n}_{i}" for i in range(n))) for n in range(1, 41)] + [(50, " ".join(f"w40_{i}" for i in range(40)))]
+    for n in range(60):
+        assert len(substrings._window_runs(pa.array([" ".join(map(str, range(n)))]), 35, 14)[1]) == max(0, n - 34)
+    assert substring_found(substrings.drop_repeats(frame(spark, docs), 35)) == substring_brute(docs, 35)
+
+
 @pytest.fixture(scope="module")
 def library():
     import public_tokenizers
