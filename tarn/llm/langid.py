@@ -22,8 +22,9 @@ from .common import table
 from .words import chunks, release
 
 ORDER, BITS = 4, 14
-#: Bounds of the sample: texts of a language, landmarks of a language, and languages (the most frequent).
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 400, 64, 100
+#: Bounds of the sample: texts of a language and landmarks of a language; of more languages than
+#: these, each has fewer, so that the total stays; and the most languages that are learned at all.
+PER_LANGUAGE, LANDMARKS, LANGUAGES, MOST_LANGUAGES = 400, 64, 100, 1600
 RIDGE = 1e-3
 _FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D, 0xFD7046C5, 0xB55A4F09)
 #: Letters count, whatever their case; runs of anything else in ASCII are one kind of gap.
@@ -64,7 +65,9 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
-    y = np.array([[1.0 if a == b else 0.0 for b in languages] for a in langs])
+    place = {a: i for i, a in enumerate(languages)}
+    y = np.zeros((len(langs), len(languages)))
+    y[np.arange(len(langs)), [place[a] for a in langs]] = 1
     seen: dict[str, int] = {}
     at = [i for i, a in enumerate(langs) if seen.setdefault(a, 0) < landmarks and not seen.update({a: seen[a] + 1})]
     # A few texts' rows at a time: they are wide.
@@ -79,24 +82,34 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int | None = None) -> Model:
     """Fit on a bounded sample of the rows of ``docs`` (doc_id, text, lang) that are not held out.
 
-    The sample has at most ``per_language`` texts of each of the ``languages`` most
-    frequent lang values, those of the smallest hash of doc_id; rows without text, lang
-    or doc_id are not learned from.
+    The sample has at most ``per_language`` texts of each lang value, those of the
+    smallest hash of doc_id; rows without text, lang or doc_id are not learned from.
+    With more than ``LANGUAGES`` values each has fewer texts and landmarks; more than
+    ``MOST_LANGUAGES`` are an error.  ``languages``: learn only so many, the most frequent.
     """
     rows = docs.where((remainder(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    found = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min("h").alias("least")).orderBy(F.desc("count"), "lang").limit(languages or MOST_LANGUAGES + 1).collect()
     if not found:
         return fit([], [])
-    share = F.create_map(*(F.lit(v) for r in found for v in (r["lang"], min(1 << 31, int(1.5 * per_language / r["count"] * (1 << 31)) + 1))))
-    rows = rows.where(F.col("h") < share[F.col("lang")]).orderBy("h", "doc_id").limit(2 * per_language * len(found)).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
+    landmarks = LANDMARKS
+    if len(found) > LANGUAGES:
+        per_language, landmarks = min(per_language, PER_LANGUAGE * LANGUAGES // len(found)), LANDMARKS * LANGUAGES // len(found)
+    # At least the row of the smallest hash, so that every language is learned.
+    share = [(r["lang"], max(r["least"] + 1, min(1 << 31, int(1.5 * per_language / r["count"] * (1 << 31)) + 1))) for r in found]
+    share = docs.sparkSession.createDataFrame(share, "lang string, share long")
+    rows = rows.join(F.broadcast(share), "lang").where(F.col("h") < F.col("share")).orderBy("h", "doc_id").limit(2 * per_language * len(found)).collect()
     kept: dict[str, list[str]] = {}
     for r in rows:
         if len(own := kept.setdefault(r["lang"], [])) < per_language:
             own.append(r["text"])
-    return fit([t for own in kept.values() for t in own], [k for k, own in kept.items() for _ in own])
+    if len(kept) < len(found):
+        raise ValueError(f"no text sampled of {len(found) - len(kept)} values of lang: too many rows of one doc_id")
+    return fit([t for own in kept.values() for t in own], [k for k, own in kept.items() for _ in own], landmarks)
 
 
 def _letters(text: str | None) -> bool:

@@ -237,6 +237,18 @@ def test_language_id_sample_is_bounded(spark, documents):
     assert langid.train(df, per_language=5, languages=2).weights.shape == (1 << langid.BITS, 2)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    for name, value in (("PER_LANGUAGE", 4), ("LANDMARKS", 2), ("BITS", 10)):
+        monkeypatch.setattr(langid, name, value)
+    made = [(10 * i + j, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)}", f"l{i:03}") for i in range(130) for j in range(10 if i < 120 else 3)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    learned = {x for d, _, x in df.where(langid.remainder(df["doc_id"]) != 0).collect()}
+    assert len(learned) > 100 and set(langid.train(df).languages) == learned
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 110)
+    with pytest.raises(ValueError):
+        langid.train(df)
+
+
 def test_kernel_is_the_overlap_of_ngrams():
     x = langid.presence(["abc", "ABC", "abcd", "xyz", "", "a1c", "a c"], order=3, bits=18)
     k = x @ x.T
