@@ -55,9 +55,11 @@ def budgets(leaves: DataFrame, total: int, weights: dict[str, dict[str, int]], d
 
     ``leaves`` has the levels and ``supply``; a node's weight is the one given for its
     value at its level, else ``default`` (null values too).  A leaf can supply its
-    tokens ``max_epochs`` times.  Each level may leave less than a token for each child.
+    tokens ``max_epochs`` times, or none if it or a node above it has weight 0.  Each level
+    may leave less than a token for each child.
     """
-    tree = leaves.withColumn("cap", F.col("supply") * int(max_epochs))
+    some = reduce(lambda a, b: a & b, (_weight(F.col(x), weights.get(x, {}), default) > 0 for x in LEVELS))
+    tree = leaves.withColumn("cap", F.when(some, F.col("supply") * int(max_epochs)).otherwise(F.lit(0).cast("long")))
     parents: list[str] = []
     above = None
     for level in LEVELS:

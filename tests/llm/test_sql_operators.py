@@ -102,6 +102,14 @@ def test_budgets_of_more_than_there_is_and_epochs(spark):
         mixing.budgets(leaf(spark, made), 10, {"domain": {"d": 0.5}})
 
 
+def test_what_weight_0_leaves_goes_to_others(spark):
+    made = [("D", "x", "A", 100), ("D", "x", "B", 10), ("E", "x", "C", 100), ("E", "z", "C", 70), ("F", "z", "C", 40)]
+    weights = {"source": {"A": 0}, "lang": {"z": 0}}
+    got = {(r["domain"], r["lang"], r["source"]): (r["supply"], r["budget"]) for r in mixing.budgets(leaf(spark, made), 100, weights).collect()}
+    # D can use 10 of its share and F nothing, so E has the rest.
+    assert got == {("D", "x", "A"): (100, 0), ("D", "x", "B"): (10, 10), ("E", "x", "C"): (100, 90), ("E", "z", "C"): (70, 0), ("F", "z", "C"): (40, 0)}
+
+
 def test_mix_edges(spark):
     from pyspark.sql import functions as F
 
