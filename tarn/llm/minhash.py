@@ -12,6 +12,7 @@ whole sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .blocks import comparable, in_blocks
 from .common import checkpointed, connected_components, table, unplaced
-from .words import U, chunks, inverse, mix, powers, release, runs, words, _Q
+from .words import U, Words, chunks, exact_sets, inverse, mix, powers, release, runs, words, _Q
 
 #: Signature values compared before each decision.
 BATCH = 30
@@ -52,42 +53,62 @@ def least_matches(threshold: float, n: int, miss: float) -> list[int]:
     return out
 
 
-def _sets(column: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    w = words(column, fold=True)
+def _shingles(w: Words, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each row the places of its distinct shingles in the order of their hashes, and the hashes by place.
+
+    Two shingles are the same if their words are; equal hashes of different words are
+    told apart.  A row of fewer than k words has one shingle, at its first word.
+    """
     h, _ = runs(w, k)
-    out = []
+    h, out = np.append(h, np.zeros(len(w.number) - len(h), U)), []
     for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
-        if e - s >= k:
-            out.append(np.unique(h[s : e - k + 1]))
-        elif e > s:
-            n = e - s
-            out.append(mix(np.array([(w.hash[s:e] * powers(_Q, n)[:n]).sum(dtype=U) + U(n)], U)))
-        else:
-            out.append(w.hash[:0])
-    return out
+        if e - s < k:
+            if e > s:
+                h[s] = mix(np.array([(w.hash[s:e] * powers(_Q, e - s)[: e - s]).sum(dtype=U) + U(e - s)], U))[0]
+            out.append(np.arange(s, min(e, s + 1)))
+            continue
+        own = h[s : e - k + 1]
+        order = own.argsort()
+        at = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+        if len(at):
+            one, two = s + order[at], s + order[at + 1]
+            if any((w.number[one + j] != w.number[two + j]).any() for j in range(k)):
+                lanes = [w.digests[w.number[s + j : e - k + 1 + j], i] for j in range(k - 1, -1, -1) for i in (1, 0)]
+                order = np.lexsort((*lanes, own))
+                same = np.all([x[order[1:]] == x[order[:-1]] for x in lanes], 0)
+            else:
+                same = own[order[1:]] == own[order[:-1]]
+            order = order[np.append(True, ~same)]
+        out.append(s + order)
+    return out, h
+
+
+def _fingerprint(w: Words, places: np.ndarray, k: int, row: int) -> bytes:
+    """128 bits of a set: BLAKE2b over the digests of its shingles' words."""
+    size = min(k, int(w.first[row + 1] - w.first[row]))
+    return blake2b(w.digests[w.number[places[:, None] + np.arange(size)]].tobytes() + bytes([size]), digest_size=16).digest()
 
 
 def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (f1, f2), band keys and the low byte of each minimum."""
+    """doc_id, tag (hash of the text), n_shingles, a 128-bit fingerprint of the set (f1, f2), band keys and the low byte of each minimum."""
     r = np.random.default_rng(2)
     factors = r.integers(0, 1 << 31, bands * rows, np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
     shifts = r.integers(0, 1 << 32, bands * rows, np.int64).astype(np.uint32)
-    names = ["doc_id", "n_shingles", "f1", "f2", "bands", "sig"]
+    names = ["doc_id", "tag", "n_shingles", "f1", "f2", "bands", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_text", 2 << 20):
-                sets = _sets(part["_text"], k)
+                w = words(part["_text"], fold=True)
+                sets, h = _shingles(w, k)
                 n = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(n)
-                every = np.concatenate(sets) if sets else np.zeros(0, U)
+                every = h[np.concatenate(sets)] if sets else h
                 starts = (np.cumsum(n) - n)[full]
-                f1, f2 = np.zeros(len(sets), U), np.zeros(len(sets), U)
+                prints = np.zeros((len(sets), 2), np.int64)
                 mins = np.zeros((bands * rows, len(sets)), np.uint32)
                 if len(full):
-                    f1[full] = np.add.reduceat(mix(every + U(1)), starts)
-                    f2[full] = np.add.reduceat(mix(every ^ U(0x5851F42D4C957F2D)), starts)
+                    prints[full] = np.frombuffer(b"".join([_fingerprint(w, sets[r], k, r) for r in full.tolist()]), np.int64).reshape(-1, 2)
                     x = (every >> U(32)).astype(np.uint32)
                     h = np.empty_like(x)
                     for i in range(bands * rows):
@@ -105,24 +126,21 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 width = low.shape[1]
                 sig = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(np.arange(len(sets) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(low)])
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * np.int32(bands)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), to(ends, keys.reshape(-1).view(np.int64)), sig], names)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], pa.array(n), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), to(ends, keys.reshape(-1).view(np.int64)), sig], names)
         release()
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, schema)
+    schema = "doc_id long, tag long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"
+    return docs.select(*_named(docs)).mapInArrow(run, schema)
 
 
-def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and all its shingle hashes, for the ids given."""
+def _named(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").alias("_text")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "_text", 2 << 20):
-                sets = [x.tobytes() for x in _sets(part["_text"], k)]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("_text")).join(ids, "id", "left_semi")
-    return some.mapInArrow(run, "id long, hashes binary").dropDuplicates(["id"])
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and the text of a document of the class, for the classes given (id, doc_id, tag)."""
+    some = docs.select(*_named(docs)).join(classes.select("id", F.col("doc_id").alias("_d"), F.col("tag").alias("_t")), (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t")))
+    return some.select("id", F.col("_text").cast("binary").alias("text")).dropDuplicates(["id"])
 
 
 def _survivors(i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int, enough: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,11 +207,12 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _links(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
+def _links(t: pa.Table, pairs: Pairs, k: int, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
     """Verified links that join components, the most similar tried first; within the group, joined ones are one."""
     i, j, same = _apart(t, pairs, num, den, enough)
     order = np.argsort(-same, kind="stable")
-    a, sets = t["a"].to_numpy(), [np.frombuffer(x, U) for x in t["hashes"].to_pylist()]
+    a, some = t["a"].to_numpy(), np.unique(np.concatenate([i, j]))
+    sets = dict(zip(some.tolist(), exact_sets(t["text"].combine_chunks().take(pa.array(some)).to_pylist(), k)))
     up = {x: x for x in t["c"].to_pylist()}
     c = t["c"].to_pylist()
 
@@ -213,21 +232,25 @@ def _links(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) ->
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs with den * intersection >= num * union of their whole sets."""
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs with den * intersection >= num * union of their whole sets, by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                common = _common(x, y)
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
-
-    one = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+            for half in chunks(batch, "x", 4 << 20):
+                for part in chunks(half, "y", 4 << 20):
+                    a, b = part["a"].to_numpy(), part["b"].to_numpy()
+                    ids, at = np.unique(np.concatenate([a, b]), return_index=True)
+                    sets = exact_sets([part["x"][p].as_py() if p < len(a) else part["y"][p - len(a)].as_py() for p in at.tolist()], k)
+                    keep = []
+                    for p, q in zip(np.searchsorted(ids, a).tolist(), np.searchsorted(ids, b).tolist()):
+                        common = _common(sets[p], sets[q])
+                        keep.append(den * common >= num * (len(sets[p]) + len(sets[q]) - common))
+                    keep = pa.array(keep, pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part["a"].filter(keep), part["b"].filter(keep)], ["a", "b"])
+
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -246,47 +269,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     ``bands`` and ``miss`` set the rows of a band: a pair at the threshold shares no
     band with a chance of ``miss`` at most.  No bucket or partner is left out.
 
+    Links and equal sets are decided on the words themselves, or for equal sets on a
+    BLAKE2b digest of all their words; hashes only say what is compared.
+
     A null doc_id takes no part: component_id null, kept true.  Rows that repeat a
-    doc_id are one document and each get its component.
+    doc_id are one document with the links of all its texts, and each get its component;
+    a row without words stays alone all the same.  Other columns are left out.
     """
     rows = rows_per_band(num / den, bands, miss)
     made = checkpointed(_signatures(docs, k, bands, rows))
     sets_of = ["f1", "f2", "n_shingles"]
     usable = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = checkpointed(usable.groupBy(*sets_of).agg(F.min("doc_id").alias("id")))
-    classes = checkpointed(usable.join(unplaced(first, "f1", "f2"), sets_of).where("doc_id = id").select("id", "n_shingles", "bands", "sig").dropDuplicates(["id"]))
+    # A class is known by its set; its number is fixed by the checkpoint.
+    first = usable.groupBy(*sets_of).agg(F.min("doc_id").alias("name"))
+    first = checkpointed(first.withColumn("cls", F.monotonically_increasing_id()))
+    by_set = first.select(*sets_of, "name", "cls").transform(unplaced, "f1", "f2")
+    classes = usable.join(by_set, sets_of).where("doc_id = name").select(F.col("cls").alias("id"), "doc_id", "tag", "n_shingles", "bands", "sig")
+    # Repeated rows have the same set, so any of them will do; of texts that differ all the same, one is looked up by its tag.
+    classes = checkpointed(classes.dropDuplicates(["id"]))
     keys = classes.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     held = checkpointed(keys.join(unplaced(shared, "key"), "key"))
-    sets = checkpointed(_whole_sets(docs, held.select("id").distinct(), k))
+    texts = checkpointed(_texts(docs, classes.join(held.select("id").distinct(), "id", "left_semi")))
 
     # Each class with the member of its bucket that meets most others anywhere.
     weight = held.groupBy("id").agg(F.sum(F.col("size") - 1).alias("weight"))
     hubs = held.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
     stars = held.join(hubs.select("key", (-F.col("top.minus")).alias("hub")).transform(unplaced, "key"), "key").where("id <> hub").select(*_ordered("id", "hub")).distinct()
-    test = lambda pairs: checkpointed(_verified(_likely(pairs, classes, num, den, bands * rows, miss), sets, num, den))
-    parts = connected_components(test(stars))
+    found = checkpointed(_verified(_likely(stars, classes, num, den, bands * rows, miss), texts, k, num, den))
+    parts = connected_components(found.unionByName(_same_document(usable, by_set, sets_of)))
 
     # What shares a bucket and is still apart: compared by signatures, then the rows that had survivors by whole sets.
     at = held.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", F.col("id").alias("a"), F.coalesce("component", "id").alias("c"))
     open_keys = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     apart = checkpointed(at.join(unplaced(open_keys, "key"), "key"))
     component = apart.groupBy("a").agg(F.min("c").alias("c"))
-    rows_of = checkpointed(component.join(classes.withColumnRenamed("id", "a"), "a"))
+    rows_of = checkpointed(component.join(classes.select(F.col("id").alias("a"), "n_shingles", "bands", "sig"), "a"))
     enough = least_matches(num / den, bands * rows, miss)
     near = in_blocks(apart.select("key", "a"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long", 1024).distinct()
-    rows_of = rows_of.join(sets.withColumnRenamed("id", "a"), "a")
-    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, num, den, enough), "a long, b long", 512).distinct())
+    rows_of = rows_of.join(texts.withColumnRenamed("id", "a"), "a")
+    late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, k, num, den, enough), "a long, b long", 512).distinct())
     node = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
     ends = late.join(node, late["a"] == node["_n"], "left").select(F.coalesce("_c", "a").alias("a"), "b").join(node, F.col("b") == node["_n"], "left").select("a", F.coalesce("_c", "b").alias("b"))
     above = connected_components(ends).select(F.col("node").alias("_p"), F.col("component").alias("_q"))
-    found = first.join(node, first["id"] == node["_n"], "left").select(*sets_of, F.coalesce("_c", "id").alias("_c"))
-    found = found.join(above, F.col("_c") == F.col("_p"), "left").select(*sets_of, F.coalesce("_q", "_c").alias("_component"))
-    out = made.select("doc_id", *sets_of).join(unplaced(found, "f1", "f2"), sets_of, "left")
+    top = first.join(node, first["cls"] == node["_n"], "left").select(*sets_of, "name", F.coalesce("_c", "cls").alias("_c"))
+    top = checkpointed(top.join(above, F.col("_c") == F.col("_p"), "left").select(*sets_of, "name", F.coalesce("_q", "_c").alias("_c")))
+    names = top.groupBy("_c").agg(F.min("name").alias("_component"))
+    top = top.join(unplaced(names, "_c"), "_c").select(*sets_of, "_component")
+    out = made.select("doc_id", *sets_of).join(unplaced(top, "f1", "f2"), sets_of, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _same_document(usable: DataFrame, by_set: DataFrame, sets_of: list[str]) -> DataFrame:
+    """a, b: classes that have texts of one doc_id, each with the first of them."""
+    several = usable.groupBy("doc_id").agg(F.min(F.struct(*sets_of)).alias("one"), F.max(F.struct(*sets_of)).alias("two")).where("one <> two").select("doc_id")
+    classes = usable.select("doc_id", *sets_of).join(several, "doc_id", "left_semi").join(by_set, sets_of).select("doc_id", "cls").distinct()
+    least = classes.groupBy("doc_id").agg(F.min("cls").alias("a"))
+    return classes.join(unplaced(least, "doc_id"), "doc_id").select("a", F.col("cls").alias("b")).where("a < b")
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85, 100)

@@ -1,7 +1,8 @@
-"""Words and their hashes, for whole Arrow batches at a time.
+"""Words, their hashes and exact numbers, for whole Arrow batches at a time.
 
-A word is a run of bytes other than ASCII white space.  Hashes are prefix sums of a
-polynomial modulo 2^64, so no Python object is made for a word.
+A word is a run of bytes other than ASCII white space.  Each distinct word of a batch is
+looked up in a table once and gets a number there, and a 128-bit BLAKE2b digest, so no text
+can be made up whose words are taken for others.
 """
 
 from __future__ import annotations
@@ -10,15 +11,12 @@ import ctypes
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
@@ -77,38 +75,44 @@ def chunks(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordB
         at = to
 
 
+class Numbers(dict):
+    """Words by number: equal bytes have equal numbers, others others."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 @dataclass
 class Words:
-    """Words of some rows: ``row`` (ascending), byte ``start`` and ``end`` in ``data``, ``hash``; ``first[r]:first[r+1]`` are those of row r."""
+    """Words of some rows: ``tokens``, their exact ``number`` and ``hash``, ``row`` (ascending); ``first[r]:first[r+1]`` are those of row r.
+
+    ``digests``: two 64-bit lanes for each number.
+    """
 
-    data: np.ndarray
+    tokens: list[bytes]
     row: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
+    number: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    digests: np.ndarray
 
 
 def words(column: pa.Array, fold: bool = False) -> Words:
-    """``fold``: hash A-Z as a-z."""
+    """``fold``: take A-Z as a-z."""
     data, ends = text_buffers(column)
-    data = data[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    n = len(data)
-    solid = ~_SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[ends] = True
-    left = solid.copy()
-    left[1:] &= ~solid[:-1] | edge[1:-1]
-    right = solid.copy()
-    right[:-1] &= ~solid[1:] | edge[1:-1]
-    start, end = np.flatnonzero(left), np.flatnonzero(right) + 1
-    first = np.searchsorted(start, ends).astype(np.int64)
+    raw, cuts = memoryview(data), ends.tolist()
+    tokens: list[bytes] = []
+    first = np.zeros(len(column) + 1, np.int64)
+    for r, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
+        own = bytes(raw[s:e])
+        tokens += (own.lower() if fold else own).split()
+        first[r + 1] = len(tokens)
+    table = Numbers()
+    number = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
+    digests = np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in table]), U).reshape(-1, 2)
     row = np.repeat(np.arange(len(column)), np.diff(first))
-    sums = np.zeros(n + 1, U)
-    np.cumsum((_FOLD[data] if fold else data).astype(U) * powers(_P, n + 1)[:n] + powers(_P, n + 1)[:n], out=sums[1:])
-    h = (sums[end] - sums[start]) * powers(inverse(_P), n + 1)[start]
-    return Words(data, row, start, end, mix(h), first)
+    return Words(tokens, row, number, digests[number, 0], first, digests)
 
 
 def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,3 +124,32 @@ def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(w.hash * powers(_Q, len(w.hash) + 1)[: len(w.hash)], out=sums[1:])
     h = (sums[k:] - sums[:-k]) * powers(inverse(_Q), len(w.hash) + 1)[:m]
     return mix(h + U(k)), w.row[: m] == w.row[k - 1 :]
+
+
+def exact_runs(number: np.ndarray, k: int) -> np.ndarray:
+    """An int64 for all k consecutive numbers, by the first one: equal runs have equal values, others others."""
+    m = len(number) - k + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    value, most, at = number[:m].copy(), int(number.max()) + 1, 1
+    base = most
+    while at < k:
+        if most * base >= 1 << 63:  # number the values anew, so that they stay small
+            _, value = np.unique(value, return_inverse=True)
+            most = int(value.max()) + 1
+        value = value * base + number[at : at + m]
+        most *= base
+        at += 1
+    return value
+
+
+def exact_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """Each text's set of runs of k words, A-Z as a-z, as sorted numbers; of fewer words the whole sequence.  No hashes: equal numbers are equal words."""
+    w = words(pa.array(texts, pa.large_binary()), fold=True)
+    value, short, out = exact_runs(w.number, k), Numbers(), []
+    for s, e in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        if e - s >= k:
+            out.append(np.unique(value[s : e - k + 1]))
+        else:
+            out.append(np.array([-1 - short[w.number[s:e].tobytes()]] if e > s else [], np.int64))
+    return out

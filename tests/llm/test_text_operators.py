@@ -55,9 +55,13 @@ def test_words_and_runs():
     expected = [(t or "").encode().translate(ASCII).split() for t in texts]
     assert [int(x) for x in (w.first[1:] - w.first[:-1])] == [len(x) for x in expected]
     flat = [x for own in expected for x in own]
-    assert [bytes(w.data[s:e]).translate(ASCII) for s, e in zip(w.start, w.end)] == flat
-    seen = {}
-    assert all(seen.setdefault(a, b) == b for a, b in zip(flat, w.hash.tolist())) and len(set(seen.values())) == len(seen)
+    assert w.tokens == flat
+    for numbers in (w.hash, w.number):
+        seen = {}
+        assert all(seen.setdefault(a, b) == b for a, b in zip(flat, numbers.tolist())) and len(set(seen.values())) == len(seen)
+    for k in range(1, 9):
+        value = words.exact_runs(w.number << 18, k).tolist()  # so large that they have to be numbered anew
+        assert len(set(zip(value, (tuple(flat[i : i + k]) for i in range(len(value)))))) == len(set(value)) == len({tuple(flat[i : i + k]) for i in range(len(value))})
     h, inside = words.runs(w, 3)
     good = [tuple(flat[i : i + 3]) for i in range(len(flat) - 2) if inside[i]]
     assert good.count((b"the", b"cat", b"sat")) == 3
@@ -97,6 +101,42 @@ def test_minhash_edges(spark):
     assert minhash.near_duplicates(frame(spark, []), 5).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_made_up_words_are_told_apart(spark, n):
+    one, two = thue_morse(n), thue_morse(n, "b", "a")
+    made = [(1, one), (2, two)] + [(3 + i, " ".join([*(f"w{j}" for j in range(20)), x, *(f"v{j}" for j in range(20))])) for i, x in enumerate((one, two))]
+    assert as_dict(minhash.near_duplicates(frame(spark, made), 3, 95, 100)) == near_brute(made, 3, 95, 100)
+    assert substring_found(substrings.drop_repeats(frame(spark, made), 35)) == substring_brute(made, 35)
+    # Whole words in that order, too.
+    made = [(1, " ".join(one)), (2, " ".join(two))]
+    for length in (35, n):
+        assert substring_found(substrings.drop_repeats(frame(spark, made), length)) == substring_brute(made, length)
+
+
+def test_equal_hashes_of_other_words_are_other_shingles(monkeypatch):
+    # With a hash of five values, nearly all shingles collide.
+    real = words.runs
+    monkeypatch.setattr(minhash, "runs", lambda w, k: (real(w, k)[0] % words.U(5), real(w, k)[1]))
+    texts = ["a b c a b c d e f a b d " * 3, "a b", "", "x y z x y z x y z"]
+    w = words.words(pa.array(texts), fold=True)
+    assert [len(x) for x in minhash._shingles(w, 3)[0]] == [len(shingles(t, 3)) for t in texts]
+    prints = [minhash._fingerprint(v, minhash._shingles(v, 3)[0][0], 3, 0) for v in (words.words(pa.array([t])) for t in ("a b c a b c d", "a b c d b c a b c", "c d e", "a b c a b c d a b c"))]
+    assert len(set(prints)) == len({frozenset(shingles(t, 3)) for t in ("a b c a b c d", "a b c d b c a b c", "c d e", "a b c a b c d a b c")})
+
+
+def test_minhash_of_repeated_ids(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(80))
+    made = [(5, text("x")), (5, text("y")), (6, text("x") + " z"), (7, text("y") + " z"), (9, text("q")), (8, text("r")), (9, text("r")), (8, text("q")), (10, text("s")), (10, ""), (10, None)]
+    for _ in range(2):
+        out = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, made), 3, 85, 100).repartition(1).collect())
+        assert [x[2] for x in out if x[0] in (5, 6, 7)] == [5] * 4 and [x[2] for x in out if x[0] in (8, 9)] == [8] * 4
+        assert [x for x in out if x[0] == 10] == [(10, 0, 10, True), (10, 0, 10, True), (10, 78, 10, True)]
+
+
 def test_posterior_bounds():
     enough = minhash.least_matches(0.85, 180, 1e-5)
     assert enough == sorted(enough) and enough[180] < 0.85 * 180 and enough[30] < 0.85 * 30
