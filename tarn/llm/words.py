@@ -127,19 +127,22 @@ def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exact_runs(number: np.ndarray, k: int) -> np.ndarray:
-    """An int64 for all k consecutive numbers, by the first one: equal runs have equal values, others others."""
+    """An int64 for all k consecutive numbers, by the first one: equal runs have equal values, others others.
+
+    Runs of twice the length are pairs of runs, and k is covered by two that overlap.
+    """
     m = len(number) - k + 1
     if m <= 0:
         return np.zeros(0, np.int64)
-    value, most, at = number[:m].copy(), int(number.max()) + 1, 1
-    base = most
-    while at < k:
-        if most * base >= 1 << 63:  # number the values anew, so that they stay small
+    value, most, have = number, int(number.max()) + 1, 1
+    while have < k:
+        step = min(have, k - have)
+        if most * most >= 1 << 63:  # number the values anew, so that they stay small
             _, value = np.unique(value, return_inverse=True)
             most = int(value.max()) + 1
-        value = value * base + number[at : at + m]
-        most *= base
-        at += 1
+        value = value[:-step] * most + value[step:]
+        most *= most
+        have += step
     return value
 
 
