@@ -2,9 +2,11 @@
 
 Random hyperplanes give each vector a code of signs for each table; vectors that share a
 code are candidates.  Buckets are compared as blocks of a matrix product in double
-precision, and a block gives a forest of its links.  Links join components only, so each
-component's links are then counted, again in blocks, each pair once; pairs are never
-rows.  Vectors with the very same components are one row with a count all the way.
+precision, and a block gives a forest of its links.  Links join components only, so the
+links of a component of at most ``WHOLE`` vectors are then counted among all of its pairs;
+in a larger one, which may be a long chain, a pair is counted in the first table that it
+shares, so its work is that of its buckets.  Pairs are never rows.  Vectors with the very
+same components are one row with a count all the way.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .blocks import comparable, in_blocks
 from .common import checkpointed, connected_components, table
 from .words import U, mix
 
-#: The chance to miss a pair at the threshold.
-MISS = 1e-4
+#: The chance to miss a pair at the threshold, and the vectors of a component within which all pairs are compared.
+MISS, WHOLE = 1e-4, 4096
 
 
 def tables_for(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
@@ -80,7 +82,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
 
     Vectors are linked if their cosine in double precision is at least ``threshold``.
     A linked pair at the threshold shares no table with a chance of ``miss``; within a
-    component every pair is compared.  All rows count: n_links has every other row
+    component of at most ``WHOLE`` different vectors every pair is compared.  All rows count: n_links has every other row
     linked directly.  Vectors that are null, empty, zero or hold null or non-finite
     components have no links and are kept; so are rows without id, whose component is
     null.  Vectors of different lengths are not linked.  Rows that repeat an id are one
@@ -102,7 +104,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
                     ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * np.int32(count))
                     yield pa.RecordBatch.from_arrays([own["a"], pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))], ["a", "keys"])
 
-    keyed = checkpointed(same.select("a", "v").mapInArrow(hash_rows, "a long, keys array<long>")).select("a", F.explode("keys").alias("key"))
+    coded = checkpointed(same.select("a", "v").mapInArrow(hash_rows, "a long, keys array<long>"))
+    keyed = coded.select("a", F.explode("keys").alias("key"))
 
     def forest(rows: pa.Table, pairs: Pairs) -> pa.RecordBatch:
         """Links between few rows, of many a forest of them."""
@@ -118,15 +121,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
     def count_links(rows: pa.Table, pairs: Pairs) -> pa.RecordBatch:
         copies = rows["copies"].to_numpy().astype(np.float64)
         if pairs is None:
-            links = _near(rows, threshold) @ copies
+            near = _near(rows, threshold)
+            links = (_first_here(rows, near) if "keys" in rows.column_names else near) @ copies
         else:
             i, j = _near_pairs(rows, threshold, *pairs)
+            if "keys" in rows.column_names:
+                i, j = _pairs_first_here(rows, i, j)
             links = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
         return pa.RecordBatch.from_arrays([rows["a"].combine_chunks(), pa.array(links.astype(np.int64))], ["a", "links"])
 
     shared = in_blocks(keyed, same, forest, "a long, b long").distinct()
     parts = connected_components(shared).select(F.col("node").alias("a"), F.col("component").alias("key"))
-    links = in_blocks(parts, same, count_links, "a long, links long").groupBy("a").agg(F.sum("links").alias("links"))
+    large = checkpointed(parts.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > WHOLE).select(F.col("key").alias("_key")))
+    schema = "a long, links long"
+    links = in_blocks(parts.join(large, F.col("key") == F.col("_key"), "left_anti"), same, count_links, schema)
+    if not large.isEmpty():
+        some = parts.join(large, F.col("key") == F.col("_key"), "left_semi").select(F.col("a").alias("_a"))
+        rows = same.join(coded.withColumnRenamed("a", "_c"), F.col("a") == F.col("_c")).drop("_c").join(some, F.col("a") == F.col("_a"), "left_semi")
+        rows = checkpointed(rows)
+        links = links.unionByName(in_blocks(rows.select("a", F.explode("keys").alias("key")), rows, count_links, schema))
+    links = links.groupBy("a").agg(F.sum("links").alias("links"))
     found = same.join(links, "a", "left").join(parts, "a", "left")
     found = found.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("key", "a").alias("c"))
     found = good.join(found, "v").select(F.col("id").alias("_id"), "n_links", "c")
@@ -144,6 +158,29 @@ def _near(rows: pa.Table, threshold: float) -> np.ndarray:
     return (v @ v.T >= threshold) & comparable(rows)
 
 
+def _tables(rows: pa.Table) -> np.ndarray:
+    """Each row's keys, a column for each table."""
+    return rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+
+
+def _first_here(rows: pa.Table, near: np.ndarray) -> np.ndarray:
+    """The links of a group that share no table before the group's."""
+    keys = _tables(rows)
+    for table in range(int((keys[0] == rows["key"][0].as_py()).argmax())):
+        if not near.any():
+            break
+        near = near & (keys[:, table, None] != keys[None, :, table])
+    return near
+
+
+def _pairs_first_here(rows: pa.Table, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs of rows of several groups."""
+    keys = _tables(rows)
+    here = (keys == rows["key"].to_numpy()[:, None]).argmax(1)
+    first = np.concatenate([(keys[i[s : s + 8192]] == keys[j[s : s + 8192]]).argmax(1) for s in range(0, len(i), 8192)] or [here[:0]]) == here[i]
+    return i[first], j[first]
+
+
 def _near_pairs(rows: pa.Table, threshold: float, i: np.ndarray, j: np.ndarray) -> Pairs:
     """Which of the pairs are linked.  Groups may differ in length: shorter vectors are filled up with zeros."""
     column = rows["v"].combine_chunks()
