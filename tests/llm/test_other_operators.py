@@ -40,8 +40,8 @@ TEXT = ["Head & tail", "One boldword and a link.", "Two lines éé a < b 3 < 4",
 
 
 def test_what_belongs_to_the_article():
-    assert html.cut(PAGE, {}) == "\n\n".join(TEXT)
-    assert html.cut(PAGE, html.places(html.infer([PAGE]), 1)) == "\n\n".join(TEXT)
+    assert html.cut(PAGE) == "\n\n".join(TEXT)
+    assert html.cut(PAGE, html.Wrapper.learn([PAGE])) == html.cut(PAGE, html.Wrapper.learn([PAGE, PAGE])) == "\n\n".join(TEXT)
 
 
 @pytest.mark.parametrize(
@@ -66,7 +66,7 @@ def test_what_belongs_to_the_article():
     ],
 )
 def test_markup(page, text):
-    assert html.cut(page, {}) == text
+    assert html.cut(page) == text
 
 
 def test_wrapper_of_differing_pages():
@@ -74,20 +74,70 @@ def test_wrapper_of_differing_pages():
     pages = [page("<h2>t1</h2><p>a</p><p>b</p>"), page("<h2>t2</h2><p>c</p><ul><li>x</li><li>y</li></ul>"), page("<h2>t3</h2><p>d</p><p>e</p><p>f</p>")]
     wrapper = html.infer(pages)
     assert str(wrapper) == "<><body><nav>'home'</><div.box><h2>#</><p>#</>+<ul><li>#</>+</>?</><p>'All rights reserved'</></></>"
-    places = html.places(wrapper, 3)
+    places = html.Wrapper.of(wrapper, 3)
     # The same text on every page is the template's, slots are the page's own.
     assert html.cut(pages[1], places) == "t2\n\nc\n\nx\n\ny"
     assert html.cut(page("<h3>new place</h3>"), places) == "new place"
     assert "(<h3>#</> <p>#</>)+" in str(html.infer(["<div><h3>a</h3><p>b</p><h3>c</h3><p>d</p><h3>e</h3><p>f</p></div>"]))
 
 
+def test_pages_are_parsed_by_the_expression():
+    page = lambda t, *items, ad="": f"<body><p>Site</p><div><h2>{t}</h2>{''.join(f'<p>{x}</p><h3>{x}h</h3><ul><li>{x}1<li>{x}2</ul>' for x in items)}{ad}<p>Terms of use</p></div></body>"
+    pages = [page("a", "x", "y"), page("b", "z"), page("c", "u", "v", "w")]
+    wrapper = html.infer(pages)
+    learned = html.Wrapper.of(wrapper, 3)
+    # The group takes in any number of turns; the last p stands at their path, but is another part of the expression.
+    names = lambda p: [(t, i) for t, i, _ in learned.match(html.parse(p))]
+    of = dict(names(page("d", "q", "r", "s", "t")))
+    assert None not in of.values() and len({of[x] for x in "qrst"} | {of["q1"], of["s2"]}) == 2 and of["Terms of use"] not in (of["q"], of["q1"])
+    assert learned.freed([]).spec == learned.spec
+    assert html.cut(page("d", "q", "r"), learned) == "d\n\nq\n\nqh\n\nq1\n\nq2\n\nr\n\nrh\n\nr1\n\nr2"
+    assert html.cut(page("e", "q", ad="<pre>new</pre>"), learned) == "e\n\nq\n\nqh\n\nq1\n\nq2\n\nnew"
+
+
+def test_sequences_of_any_length_are_aligned():
+    from random import Random
+
+    r = Random(6)
+    for n, cells in ((12, 1 << 18), (60, 9), (60, 400)):
+        for letters in ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            for _ in range(40):
+                p, q = r.choices(letters, k=r.randrange(n)), r.choices(letters, k=r.randrange(n))
+                html.CELLS, found = cells, None
+                found = html._matches(p, q)
+                html.CELLS = 1 << 18
+                assert all(p[i] == q[j] for i, j in found) and all(a < c and b < d for (a, b), (c, d) in zip(found[:-1], found[1:]))
+                if cells == 1 << 18:
+                    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+                    for i, j in ((i, j) for i in range(len(p)) for j in range(len(q))):
+                        best[i + 1][j + 1] = best[i][j] + 1 if p[i] == q[j] else max(best[i][j + 1], best[i + 1][j])
+                    assert len(found) == best[-1][-1]
+
+
+def test_deep_and_wide_pages(spark):
+    import time
+
+    deep = lambda x, n=5000: "<article>" + "<div>" * n + f"<p>{x}" + "</div>" * n + "</article>"
+    wide = lambda x, n=50_000: "<article>" + "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}><p>{x}{i}</div>" for i in range(n)) + "</article>"
+    flat = lambda x: "<body>" + "".join(f"<p>{x}{i}</p>" for i in range(50_000)) + "</body>"
+    began = time.time()
+    made = [(1, "http://d/1", deep("a")), (2, "http://d/2", deep("b", 4000)), (3, "http://d/3", "<article><p>c</article>"), (4, "http://w/1", wide("x")), (5, "http://w/2", wide("y")[:1_000_000] + "<p>end"), (6, "http://f/1", flat("u")), (7, "http://f/2", flat("v"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert (got[1], got[2], got[3]) == ("a", "b", "c") and got[5].endswith("end")
+    assert got[4] == "\n\n".join(f"x{i}" for i in range(50_000)) and got[6].split("\n\n")[-1] == "u49999" and got[7].count("\n\n") == 49_999
+    # Other labels in another order: no table of 50,000 by 50,000.
+    a, b = wide("x", 20_000), wide("y", 40_000).replace("class=c", "class=d", 15_000)
+    assert html.cut(b, html.Wrapper.learn([a, b])).count("\n\n") == 39_999
+    assert time.time() - began < 300
+
+
 def boxed(title, *body):
     return f"<body><div class=box><h2>{title}</h2>{''.join(body)}</div><p>All rights reserved</p></body>"
 
 
 def test_text_of_one_page_is_no_template():
     pages = [boxed("t1", "<p>a</p><p>b</p>", "<blockquote>Quote one</blockquote>"), boxed("t2", "<p>c</p><p>d</p>"), boxed("t3", "<p>e</p><p>f</p>")]
-    places = html.places(html.infer(pages), 3)
+    places = html.Wrapper.learn(pages)
     assert [html.cut(p, places) for p in pages] == ["t1\n\na\n\nb\n\nQuote one", "t2\n\nc\n\nd", "t3\n\ne\n\nf"]
     assert html.cut(boxed("t4", "<p>g</p>", "<blockquote>Another</blockquote>"), places) == "t4\n\ng\n\nAnother"
 
@@ -106,7 +156,7 @@ def test_template_is_the_same_on_all_pages_of_the_host(spark):
 
 def test_pages_edges(spark):
     made = [(1, None, PAGE, 0), (2, "", None, 0), (3, "http://h/x", "", 0), (4, "HTTP://user@H:80/y?z", "<p>one", 0), (4, "HTTP://user@H:80/y?z", "<p>one", 0), (None, "nonsense", "<article>x", 0), (5, "http://h/", "<article>" + "<p>long text " * 20_000, 0)]
-    df = spark.createDataFrame(made, "page_id long, url string, html string, text int").selectExpr("*", "1 AS host", "2 AS places")
+    df = spark.createDataFrame(made, "page_id long, url string, html string, text int").selectExpr("*", "1 AS host", "2 AS wrapper")
     out = html.extract(df).collect()
     got = {r["page_id"]: r["text"] for r in out}
     assert len(out) == len(made) and got[1] == "\n\n".join(TEXT) and got[2] == got[3] == "" and got[4] == "one" and got[None] == "x"
@@ -135,8 +185,9 @@ def near_brute(made, threshold=0.9):
     return out
 
 
-@pytest.mark.parametrize("block", [512, 16])
-def test_vectors_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, whole", [(512, 4096), (16, 4096), (16, 25), (512, 3)])
+def test_vectors_equal_brute_force(spark, monkeypatch, block, whole):
+    monkeypatch.setattr(vectors, "WHOLE", whole)  # links of larger components are counted table by table
     monkeypatch.setattr(blocks.in_blocks, "__defaults__", (block,))  # small blocks: groups are dealt to pairs of blocks
     r = np.random.default_rng(1)
     centers = r.standard_normal((6, 24))
@@ -147,6 +198,15 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     assert got == near_brute(made)
 
 
+def test_vectors_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "WHOLE", 10)
+    # Each is like some neighbours, the ends are unlike; copies count.
+    made = [(i, [float(np.cos(i / 9)), float(np.sin(i / 9)), 0.0]) for i in range(50)]
+    made += [(100 + i, v) for i, v in made[:20]]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in vectors.near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>")).collect()}
+    assert got == near_brute(made)
+
+
 def test_vectors_edges(spark):
     nan, inf = float("nan"), float("inf")
     made = [(1, [1.0, 0.0]), (2, [2.0, 0.001]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0]), (10, [-1.0, 0.0]), (11, [1e-30, 0.0]), (12, [1e30, 0.0]), (0, [0.5, 0.0]), (13, [0.0, 1.0])]

@@ -135,7 +135,7 @@ def test_mix_edges(spark):
 def test_top_k_edges(spark):
     made = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(100, [1.0, 1.0])]
     df = spark.createDataFrame(made, "id long, v array<double>")
-    for shard in (1, 7, 1000):
+    for shard in (1, 7, 20, 1000):
         got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("id IN (0, 4, 100)"), 3, shard).collect())
         # Ties go to the smaller id, and a query is not its own neighbour.
         assert got == [(0, 1, 1, 1), (0, 2, 2, 1), (0, 3, 3, 1), (4, 1, 9, 17), (4, 2, 14, 17), (4, 3, 19, 17), (100, 1, 4, 5), (100, 2, 9, 5), (100, 3, 14, 5)]
@@ -145,9 +145,55 @@ def test_top_k_edges(spark):
     assert topk.top_k(df, df.where("false")).count() == 0
 
 
+def brute_top_k(vectors, queries, k):
+    out = []
+    for q, v in queries.items():
+        scores = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in vectors.items() if i != q and len(w) == len(v))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def test_top_k_of_clusters_copies_and_lengths(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    centers = r.integers(-1000, 1000, (5, 6))
+    rows = [centers[i % 5] + r.integers(-20, 20, 6) for i in range(600)] + [centers[0]] * 300 + list(r.integers(-9, 9, (40, 3))) + [np.array([7])]
+    vectors = {i: [float(x) for x in v] for i, v in enumerate(rows)}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>")
+    queries = {i: v for i, v in vectors.items() if i % 11 == 0 or i >= 938} | {5000: [1.0, 2.0], 5001: [0.0] * 6}
+    asked = spark.createDataFrame(list(queries.items()), "id long, v array<double>")
+    for sample, shard in ((1 << 14, 100), (40, 30)):  # a sample that may lack a length, too
+        monkeypatch.setattr(topk, "SAMPLE", sample)
+        got = sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(df, asked, 7, shard).collect())
+        assert got == brute_top_k(vectors, queries, 7)
+
+
+def test_top_k_skips_regions_that_cannot_reach(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    # Directions far apart: the best of a cluster are in it, and no other box can reach their scores.
+    corners = 1000.0 * np.array([[-1, -1, 0], [-1, 1, 0], [1, -1, 0], [1, 1, 0]])
+    points = np.array([corners[i % 4] + r.integers(0, 10, 3) for i in range(4000)])
+    regions = topk.Regions.of(list(points[:512]), 128)
+    own = regions.find(points)
+    assert len(set(own.tolist())) >= 4 and all(len(set((np.flatnonzero(own == x) % 4).tolist())) == 1 for x in set(own.tolist()))
+    asked = points[:8]
+    kth = np.sort(asked @ points.T, 1)[:, -10]
+    reach = {(i, x) for x in set(own.tolist()) for i, q in enumerate(asked) if np.maximum(q * points[own == x].min(0), q * points[own == x].max(0)).sum() >= kth[i]}
+    assert len(reach) <= len(asked) * len(set(own.tolist())) / 2
+
+
+def test_top_k_of_too_large_components(spark):
+    df = spark.createDataFrame([(0, [2.0**30, 1.0]), (1, [2.0**30, 0.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="2.53"):
+        topk.top_k(df, df, 1).collect()
+
+
 def test_top_k_query_leaves_out_what_is_no_vector(spark, tmp_path):
     nan, inf = float("nan"), float("inf")
-    made = [(0, [1.0, 0.5], 1), (100, [-0.25, 0.0004], 1), (1, None, 1), (2, [nan, 1.0], 1), (3, [inf, 1.0], 1), (4, [None, 1.0], 1), (5, [0.0, 0.0], 1), (None, [1.0, 1.0], 1), (200, None, 1), (6, [], 1)]
+    made = [(0, [1.0, 0.5], 1), (100, [-0.25, 0.0004], 1), (1, None, 1), (2, [nan, 1.0], 1), (3, [inf, 1.0], 1), (4, [None, 1.0], 1), (5, [0.0, 0.0], 1), (None, [1.0, 1.0], 1), (200, None, 1), (6, [], 1), (7, [5.0], 1), (300, [5.0, 5.0, 5.0], 1)]
     spark.createDataFrame(made, "vec_id long, embedding array<float>, rank int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = sorted(map(tuple, topk.op4_top_k(spark, str(tmp_path)).collect()))
     assert got == [(0, 1, 5, 0), (0, 2, 100, -262144), (100, 1, 5, 0), (100, 2, 0, -262144)]

@@ -175,10 +175,10 @@ def test_substrings_equal_brute_force(spark, documents, monkeypatch, part):
     assert substring_found(substrings.drop_repeats(frame(spark, docs), 35)) == substring_brute(docs, 35)
 
 
-@pytest.mark.parametrize("part, hot", [(4 << 20, 4000), (400, 4000), (400, 3)])
-def test_substring_edges(spark, monkeypatch, part, hot):
+@pytest.mark.parametrize("part, crowd", [(4 << 20, 1024), (400, 1024), (400, 3), (1, 20)])
+def test_substring_edges(spark, monkeypatch, part, crowd):
     monkeypatch.setattr(substrings, "PART", part)
-    monkeypatch.setattr(substrings, "HOT", hot)  # few rows make an anchor hot, so its windows travel on their own
+    monkeypatch.setattr(substrings, "CROWD", crowd)  # few rows make an anchor crowded, so its windows are counted one by one
     passage = " ".join(f"p{i}" for i in range(14))
     docs = [(i, f"a{i} b{i} {passage} c{i} d{i}") for i in range(90)]  # longer than the window
     docs += [(200 + i, f"e{i} " + " ".join(f"q{j}" for j in range(9)) + f" f{i} " + " ".join(f"q{j}" for j in range(9, 14))) for i in range(90)]  # shared parts are shorter
@@ -274,23 +274,70 @@ def test_language_id_edges(spark, documents):
 
 def test_language_id_sample_is_bounded(spark, documents):
     df = spark.createDataFrame([(d, t, x) for d, t, x, _ in documents], "doc_id long, text string, lang string")
-    assert langid.train(df, per_language=5, languages=2).weights.shape == (1 << langid.BITS, 2)
+    few = langid.train(df, per_language=5, languages=2)
+    assert few.weights.shape == (len(few.columns), 2) and len(few.columns) < 10 * 4 * langid.SAMPLED
 
 
 def test_every_language_is_learned(spark, monkeypatch):
-    for name, value in (("PER_LANGUAGE", 4), ("LANDMARKS", 2), ("BITS", 10)):
-        monkeypatch.setattr(langid, name, value)
+    monkeypatch.setattr(langid, "TEXTS", 400)
     made = [(10 * i + j, f"{chr(0x4E00 + i) * 3} {chr(0x4E00 + i)}", f"l{i:03}") for i in range(130) for j in range(10 if i < 120 else 3)]
     df = spark.createDataFrame(made, "doc_id long, text string, lang string")
     learned = {x for d, _, x in df.where(langid.remainder(df["doc_id"]) != 0).collect()}
     assert len(learned) > 100 and set(langid.train(df).languages) == learned
-    monkeypatch.setattr(langid, "MOST_LANGUAGES", 110)
+    monkeypatch.setattr(langid, "MOST_LANDMARKS", 110)
     with pytest.raises(ValueError):
         langid.train(df)
 
 
+def test_language_id_of_long_texts(spark, documents):
+    from random import Random
+
+    r, own, natural = Random(3), {}, {}
+    for d, t, x, _ in documents:
+        if x and t and d % 2:
+            own.setdefault(x, []).append(t)
+        elif x and t:
+            natural.setdefault(x, []).extend(t.split())
+    df = spark.createDataFrame([(d, t, x) for d, t, x, _ in documents if d % 2], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    # Half of the words are random letters, so nearly all n-grams occur somewhere.
+    noise = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 9)))
+    long = {x: " ".join(y for _ in range(60_000) for y in (r.choice(w), noise())) for x, w in natural.items()}
+    out = langid.identify(spark.createDataFrame(list(long.items()), "lang string, text string"), model).collect()
+    assert len(out) == len(own) and all(len(t) > 500_000 for t in long.values())
+    assert all(row["lang_pred"] == row["lang"] for row in out)
+
+
+def gram_set(text, order=4):
+    raw = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode())
+    return {raw[i : i + n] for n in range(1, order + 1) for i in range(len(raw) - n + 1)}
+
+
 def test_kernel_is_the_overlap_of_ngrams():
-    x = langid.presence(["abc", "ABC", "abcd", "xyz", "", "a1c", "a c"], order=3, bits=18)
-    k = x @ x.T
-    assert k[0, 0] == pytest.approx(1) and k[0, 1] == pytest.approx(1) and k[5, 6] == pytest.approx(1)
-    assert k[0, 2] == pytest.approx(6 / (6 * 9) ** 0.5) and k[0, 3] == 0 and k[4, 4] == 0
+    texts = ["abc", "ABC", "abcd", "xyz", "", "a1c", "a c"]
+    found = [set(g.tolist()) for g in langid.grams(texts, 3)]
+    assert [len(g) for g in found] == [len(gram_set(t, 3)) for t in texts]
+    assert found[0] == found[1] and found[5] == found[6] and len(found[0] & found[2]) == 6 and not found[0] & found[3]
+    assert ["".join(langid.pieces(t, 10)) == t and max(map(len, langid.pieces(t, 10))) <= 10 for t in ("", "a" * 10, "ab" * 17)] == [True] * 3
+
+
+def test_scores_are_those_of_kernel_ridge_regression(documents):
+    """The regression in its textbook form, with exact sets of n-grams."""
+    import numpy as np
+
+    rows = [(t[:300], x) for _, t, x, _ in documents if t and x][:60]
+    sets, names, m = [gram_set(t) for t, _ in rows], sorted({x for _, x in rows}), 5
+    k = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [i for i, (_, x) in enumerate(rows) if sum(y == x for _, y in rows[:i]) < m]
+    nm = np.array([[k(a, sets[j]) for j in marks] for a in sets])
+    y = np.array([[float(x == z) for z in names] for _, x in rows])
+    n = len(rows)
+    dual = np.linalg.solve(nm.T @ nm + langid.RIDGE * n * nm[marks] + 1e-9 * n * np.eye(len(marks)), nm.T @ y)
+    asked = [t[300:700] for _, t, _, _ in documents if t and len(t) > 700][:20] + ["", "zzz qqq", "the"]
+    expected = np.array([[k(gram_set(t), sets[j]) if t else 0 for j in marks] for t in asked]) @ dual
+    model = langid.fit([t for t, _ in rows], [x for _, x in rows], m, bits=26)
+    assert model.languages == names and np.allclose(model.scores(asked), expected, atol=2e-3)
+    # Fewer bits hardly matter, and a long text is the mean of its pieces.
+    assert np.allclose(langid.fit([t for t, _ in rows], [x for _, x in rows], m).scores(asked), expected, atol=0.03)
+    long = "the piece of a text " * 3000
+    assert np.allclose(model.scores([long]), model.scores(langid.pieces(long)).mean(0))
