@@ -5,15 +5,20 @@ The SQL is written out from the meaning of each query, not made by the pattern c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.engine import Engine
-from .operators.metadata import column_stats, partition_values, table_counts
-from .sources.lake import Catalog, LakeTable, discover, read_text, write_text
+from .operators.engine import run_files
+from .operators.metadata import column_stats, partition_values, row_count, table_counts
+from .plans.query import parse_query
+from .sources.batch import drop_folder, read_queries, write_lines
+from .sources.lake import Catalog, LakeTable, discover, read_text, to_parquet, write_text
 from .sources.scratch import shared_folder
+from .streaming.counts import stream_counts, stream_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +26,7 @@ ORACLE_SQL: dict[str, str] = {}
 OPS = {"eq": "=", "ne": "!=", "gt": ">", "lt": "<"}
 DATE = "strftime(o_orderdate, '%Y-%m-%d')"
 
-_lakes: dict[tuple[str, str], str] = {}
+_lakes: dict[tuple[str, ...], str] = {}
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> Engine:
@@ -44,6 +49,25 @@ def orders_lake(spark: SparkSession, sf_dir: str) -> str:
     return _lakes[key]
 
 
+KEYS = {"1-URGENT": "01", "2-HIGH": "9", "3-MEDIUM": "10"}
+
+
+def parquet_lake(spark: SparkSession, sf_dir: str) -> str:
+    """A lake of one Parquet table in partitions whose keys look like numbers: 01, 9, 10 and 1.5; written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "parquet")
+    if key not in _lakes:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        named = F.coalesce(F.create_map(*(F.lit(x) for kv in KEYS.items() for x in kv))[F.col("o_orderpriority")], F.lit("1.5"))
+        root = f"{shared_folder(spark)}/lake-{abs(hash(key))}/database"
+        to_parquet(orders.select(F.col("o_custkey").cast("string").alias("customer"), "o_orderstatus", named.alias("k")), f"{root}/orders", ("k",))
+        _lakes[key] = root
+    return _lakes[key]
+
+
+def _parquet_lake(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(discover(spark, parquet_lake(spark, sf_dir)))
+
+
 def _lake(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(discover(spark, orders_lake(spark, sf_dir), {"orders": 3}))
 
@@ -107,9 +131,20 @@ def _patterns() -> None:
     _add("any_multi_hit", f"{every} p_name ANY_LIKE [{','.join(map(repr, many))}]", _count("part", f"p_brand <> '' AND {_like('p_name', 'any', many)}"))
     _add("none_multi_prefix", f"{every} p_name NONE_LIKE ['red%','blue%','old%']", _count("part", f"p_brand <> '' AND {_like('p_name', 'none', many[:3])}"))
     _add("all_nested_prefixes", f"{every} p_name ALL_LIKE ['r%','re%','red%']", _count("part", "p_brand <> '' AND p_name LIKE 'red%'"))
+    # Beyond sixteen of a class, they are looked up by hash.
+    words = [f"{a}{b}" for a in ("re", "bl", "gr", "ol", "ne") for b in "abcdelrux"]
+    for name, shape in (("prefixes", "{}%"), ("suffixes", "%{}"), ("constants", "{} widget")):
+        own = [shape.format(w) for w in (*words, "red", "old", "bolt", "gear", "blue")]
+        _add(f"any_many_{name}", f"{every} p_name ANY_LIKE [{','.join(map(repr, own))}]", _count("part", f"p_brand <> '' AND {_like('p_name', 'any', own)}"))
+    _add("none_many_prefixes", f"{every} p_name NONE_LIKE [{','.join(repr(w + '%') for w in words)}]", _count("part", f"p_brand <> '' AND {_like('p_name', 'none', [w + '%' for w in words])}"))
+    # With a wildcard or an inner percent sign, a bar is a wildcard, too.
+    _add("like_bar", f"{every} p_name ANY_LIKE ['_e|%','%d|b%t']", _count("part", "p_brand <> '' AND (p_name LIKE '_e_%' OR p_name LIKE '%d_b%t%')"))
     for quantifier, where in (("ALL", "true"), ("ANY", "false"), ("NONE", "true")):
         _add(f"like_no_patterns_{quantifier.lower()}", f"{every} p_name {quantifier}_LIKE []", _count("part", f"p_brand <> '' AND {where}"))
     _add("lex_int_gt", "part p_size > '5' p_name ALL_LIKE ['%']", _count("part", "p_size::VARCHAR > '5'"))
+    for op, where in (("=", "= '01'"), (">", "> '10'"), ("<", "< '9'"), ("!=", "<> '1.5'")):
+        key = "CASE o_orderpriority " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KEYS.items()) + " ELSE '1.5' END"
+        _add(f"parquet_partition_{ {v: k for k, v in OPS.items()}[op]}", f"orders k {op} '{where.split()[1][1:-1]}' o_orderstatus NONE_LIKE ['P%']", _count("orders", f"{key} {where} AND o_orderstatus NOT LIKE 'P%'"), _parquet_lake)
     _add("lex_partition_gt", "orders prio > '10' column1 ALL_LIKE ['1%']", _count("orders", "o_orderpriority > '10' AND o_custkey::VARCHAR LIKE '1%'"), _lake)
 
 
@@ -133,6 +168,11 @@ def _metadata() -> None:
     ORACLE_SQL["meta_by_file"] = " UNION ALL ".join(f"SELECT '{n}' AS column_name, min({c}) AS min_value, max({c}) AS max_value, count(*)::BIGINT AS n_rows, true AS one_value FROM orders" for n, c in (("column2", DATE), ("prio", "o_orderpriority"), ("status", "o_orderstatus")))
     QUERIES["meta_row_count"] = lambda spark, sf_dir: table_counts(spark.read.parquet(f"{sf_dir}/orders.parquet")).select("n_rows")
     ORACLE_SQL["meta_row_count"] = "SELECT count(*)::BIGINT AS n_rows FROM orders"
+    # Each test table of this name is one file.
+    QUERIES["meta_table_counts"] = lambda spark, sf_dir: table_counts(spark.read.parquet(f"{sf_dir}/part.parquet"))
+    ORACLE_SQL["meta_table_counts"] = "SELECT 1::BIGINT AS n_files, count(*)::BIGINT AS n_rows FROM part"
+    QUERIES["meta_pushed_count"] = lambda spark, sf_dir: row_count(spark, f"{sf_dir}/documents.parquet")
+    ORACLE_SQL["meta_pushed_count"] = "SELECT count(*)::BIGINT AS n_rows FROM documents"
     QUERIES["meta_partition_values"] = lambda spark, sf_dir: partition_values(_lake(spark, sf_dir).catalog.table("orders"), "prio")
     ORACLE_SQL["meta_partition_values"] = "SELECT o_orderpriority AS value, count(*) AS n_rows FROM orders GROUP BY 1"
     QUERIES["scan_text_lake"] = lambda spark, sf_dir: read_text(spark, f"{orders_lake(spark, sf_dir)}/orders", ("prio", "status"))
@@ -149,10 +189,51 @@ def _batch() -> None:
     ORACLE_SQL["batch_shared_scan"] = " UNION ALL ".join(f"SELECT {i}::INTEGER AS query_no, n FROM ({ORACLE_SQL[f'q1_{op}_{q}']})" for i, (op, q) in enumerate((op, q) for op in OPS for q in ("all", "any", "none")))
 
 
+def _files_and_streams() -> None:
+    lines = ["orders prio = '2-HIGH' column2 ANY_LIKE ['1995%']", "", "orders column1 > '5' status NONE_LIKE ['P']", "orders prio > '10' status ALL_LIKE []"]
+    where = ["o_orderpriority = '2-HIGH' AND strftime(o_orderdate, '%Y-%m-%d') LIKE '1995%'", "o_custkey::VARCHAR > '5' AND o_orderstatus NOT LIKE 'P'", "o_orderpriority > '10'"]
+
+    def by_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """A query file over the text lake, its result file read back."""
+        folder = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+        write_lines(spark, f"{folder}/params.txt", lines)
+        run_files(spark, orders_lake(spark, sf_dir), f"{folder}/params.txt", f"{folder}/out.txt")
+        counts = [(i, int(x)) for i, x in enumerate(read_queries(spark, f"{folder}/out.txt"))]
+        drop_folder(spark, folder)
+        return spark.createDataFrame(counts, "query_no int, n long")
+
+    QUERIES["batch_files"] = by_files
+    ORACLE_SQL["batch_files"] = " UNION ALL ".join(f"SELECT {i}::INTEGER AS query_no, n FROM ({_count('orders', w)})" for i, w in enumerate(where))
+    mixed = ["part p_brand = 'Brand#2' p_name ALL_LIKE ['%']", "part p_brand ~ 'x' p_name ALL_LIKE ['%']", "part p_brand = 'x' p_name SOME_LIKE ['%']", "absent a = 'x' a ALL_LIKE []", "part absent = 'x' p_name ALL_LIKE []", "part", "part p_brand != '' p_name NONE_LIKE ['%a%']"]
+
+    def with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Lines that are wrong have their errors and spoil no other."""
+        return spark.createDataFrame([(i, a.count, a.error is not None) for i, a in enumerate(_tables(spark, sf_dir).answers(mixed))], "query_no int, n long, failed boolean")
+
+    QUERIES["batch_errors"] = with_errors
+    good = {0: _count("part", "p_brand = 'Brand#2'"), 6: _count("part", "p_brand <> '' AND p_name NOT LIKE '%a%'")}
+    ORACLE_SQL["batch_errors"] = " UNION ALL ".join(f"SELECT {i}::INTEGER AS query_no, {f'({good[i]})' if i in good else 'NULL'}::BIGINT AS n, {i not in good} AS failed" for i in range(len(mixed)))
+
+    def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All files that are there, as a stream."""
+        path = f"{sf_dir}/part.parquet"
+        schema = spark.read.parquet(path).schema
+        # A stream reads folders; the glob takes the table's file in its folder.
+        counts = stream_counts(stream_parquet(spark, f"{sf_dir}/part.parquet*", schema), [parse_query(mixed[0]), parse_query(mixed[6])])
+        name = f"counts_{uuid.uuid4().hex}"
+        query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.table(name)
+
+    QUERIES["stream_counts"] = streamed
+    ORACLE_SQL["stream_counts"] = f"SELECT ({good[0]})::BIGINT AS n0, ({good[6]})::BIGINT AS n1"
+
+
 _matrix()
 _patterns()
 _metadata()
 _batch()
+_files_and_streams()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

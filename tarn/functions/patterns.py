@@ -13,6 +13,12 @@ from dataclasses import dataclass
 from enum import IntEnum
 
 _PERCENT, _WILD = re.compile(r"(?<!\\)%"), re.compile(r"(?<!\\)_")
+
+
+class QueryError(ValueError):
+    """A query that can't be understood, or names what isn't there."""
+
+
 #: A backslash that nothing escapes, a wildcard, or any other character.
 _PIECE = re.compile(r"(?P<drop>(?<!\\)\\)|(?P<wild>(?<!\\)_)|(?P<char>.)", re.S)
 
@@ -120,7 +126,7 @@ def _compile_sql(pattern: str) -> Pattern:
         if c == "\\":
             c = next(chars, "")
             if c not in ("%", "_", "\\"):
-                raise ValueError(f"stray escape in LIKE pattern {pattern!r}")
+                raise QueryError(f"stray escape in LIKE pattern {pattern!r}")
         elif c == "%":
             tokens.append([])
             continue

@@ -70,8 +70,11 @@ def like_quantified(col: Column, quantifier: str, patterns: Iterable[str], diale
         return F.lit(quantifier != "ANY_LIKE")
     if quantifier == "ALL_LIKE":
         return _balanced(and_, [matches(col, p, dialect == "reference") for p in compiled])
+    starts = [p.literal if p.kind in (Kind.CONST, Kind.PREFIX) and not p.wild else "" for p in compiled]
     sets, compiled = _in_sets(col, compiled)
     anyone = _balanced(or_, sets + [matches(col, p, dialect == "reference") for p in compiled])
+    if not compiled and quantifier == "ANY_LIKE" and all(starts):
+        anyone = _within(col, starts) & anyone
     return anyone if quantifier == "ANY_LIKE" else ~anyone
 
 
@@ -97,6 +100,14 @@ def _in_sets(col: Column, patterns: list[Pattern]) -> tuple[list[Column], list[P
     return terms, patterns
 
 
+def _within(col: Column, starts: list[str]) -> Column:
+    """What values beginning with one of these lie between; unlike a set of their beginnings, this can be pushed into a scan."""
+    out, last = col >= min(starts), max(starts)
+    if last and last[-1] not in ("\ud7ff", "\U0010ffff"):
+        out = out & (col < last[:-1] + chr(ord(last[-1]) + 1))
+    return out
+
+
 def subsumed(patterns: list[Pattern], keep_longest: bool) -> list[Pattern]:
     """Without patterns that others make redundant: of prefixes a%, ab% an OR needs the shortest, an AND the longest.
 

@@ -97,7 +97,7 @@ class Engine:
                 q = parse_query(line)
                 predicate(self.catalog.table(q.table), q, self.dialect, self.nulls)
                 good.append((i, q))
-            except QueryError as e:
+            except ValueError as e:
                 out[i] = Answer(None, str(e))
         for r in self.batch([q for _, q in good]).collect() if good else []:
             out[good[r["query_no"]][0]] = Answer(r["n"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.lake import as_text
@@ -47,6 +47,17 @@ def file_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col(FILE).alias("file")).agg(F.count("*").alias("n_rows"))
 
 
+def row_count(spark: SparkSession, path: str) -> DataFrame:
+    """``n_rows`` of a Parquet table from its files' footers alone: the count is pushed into the scan.
+
+    In a session of its own, as the settings that allow this hold for all of a session's scans.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.count("*").alias("n_rows"))
+
+
 def table_counts(df: DataFrame) -> DataFrame:
     """``n_files, n_rows`` of a table: two levels of counts, so files are never gathered in one place."""
     return file_counts(df).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))

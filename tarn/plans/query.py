@@ -5,13 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from ..functions.patterns import QueryError
 from ..functions.predicates import COMPARE, QUANTIFIERS
 
 
-class QueryError(ValueError):
-    """A query that can't be understood, or names what isn't there."""
-
-
 @dataclass(frozen=True)
 class CountQuery:
     """Count the rows of ``table`` where ``column op value`` and the quantified LIKE on ``like_column`` hold."""
@@ -55,3 +52,6 @@ def parse_query(line: str) -> CountQuery:
     if quantifier not in QUANTIFIERS:
         raise QueryError(f"unknown quantifier {quantifier!r} in {line!r}")
     return CountQuery(table, column, op, value, like_column, quantifier, tuple(patterns))
+
+
+__all__ = ["CountQuery", "QueryError", "parse_query"]

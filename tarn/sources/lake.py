@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,25 +40,45 @@ def _listing(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     return sorted(x for x in rows if not x[0].startswith("."))
 
 
-def _keys(spark: SparkSession, path: str) -> tuple[tuple[str, ...], str]:
-    """The partition keys of a table's folder, and the format of its files.
+def _files(spark: SparkSession, path: str) -> list[list[str]]:
+    """The folders and names, below a table's folder, of its files.  Spark lists large tables on the executors."""
+    found = spark.read.schema("value string").option("recursiveFileLookup", "true").text(path).inputFiles()
+    depth = urlsplit(path).path.rstrip("/").count("/") + 1
+    return [[unquote(x) for x in urlsplit(f).path.split("/")[depth:]] for f in found]
 
-    Only the first branch is followed, as in a lake every branch has the same keys; a
-    level with files and folders is an error.
-    """
-    keys: list[str] = []
-    while True:
-        seen = [x for x in _listing(spark, path) if not x[0].startswith("_")]
-        folders, files = [x for x in seen if x[2]], [x for x in seen if not x[2]]
-        if folders and files:
-            raise QueryError(f"{path} has both files and folders")
-        if not folders:
-            return tuple(keys), "parquet" if files and all(x[0].endswith(".parquet") for x in files) else "text"
-        names = {x[0].partition("=")[0] for x in folders}
-        if len(names) > 1 or any(x[0].count("=") != 1 for x in folders):
-            raise QueryError(f"{path}: folders of a partitioned table are named key=value, with one key")
-        keys.append(names.pop())
+
+def _branch(spark: SparkSession, path: str) -> list[str]:
+    """The first branch of folders of a table without files."""
+    out: list[str] = []
+    while folders := [x for x in _listing(spark, path) if x[2] and not x[0].startswith("_")]:
+        out.append(folders[0][0])
         path = folders[0][1]
+    return out
+
+
+def _keys(spark: SparkSession, path: str) -> tuple[tuple[str, ...], str]:
+    """The partition keys of a table's folder, and the format of its files; an error if any of its files has others."""
+    files = _files(spark, path)
+    branches = {tuple(f.partition("=")[0] if f.count("=") == 1 else None for f in own[:-1]) for own in files} or {tuple(x.partition("=")[0] for x in _branch(spark, path))}
+    if any(None in keys for keys in branches):
+        raise QueryError(f"{path}: folders of a partitioned table are named key=value, with one key")
+    beside = files and () in branches and any(x[2] and not x[0].startswith("_") for x in _listing(spark, path))
+    if beside or len({len(keys) for keys in branches}) > 1:
+        raise QueryError(f"{path} has both files and folders")
+    if len(branches) > 1:
+        raise QueryError(f"{path} is partitioned by {' or '.join('/'.join(x) for x in sorted(branches))}")
+    parquet = {own[-1].endswith(".parquet") for own in files}
+    if len(parquet) > 1:
+        raise QueryError(f"{path} has both Parquet and other files")
+    return branches.pop(), "parquet" if parquet == {True} else "text"
+
+
+def read_parquet(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A Parquet file or folder; partition keys are strings as written in the folders' names, whatever they look like."""
+    own = spark.read.option("recursiveFileLookup", "true").parquet(path).schema.fields if keys else None
+    if own is None:
+        return spark.read.parquet(path)
+    return spark.read.schema(T.StructType([*(f for f in own if f.name not in keys), *(T.StructField(k, T.StringType()) for k in keys)])).parquet(path)
 
 
 def read_text(spark: SparkSession, path: str, keys: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
@@ -70,7 +91,7 @@ def read_text(spark: SparkSession, path: str, keys: tuple[str, ...] = (), width:
     fields = [T.StructField("value", T.StringType()), *(T.StructField(k, T.StringType()) for k in keys)]
     # With the keys in the schema, '01' stays '01' and '9' > '10', whatever the session infers.
     raw = spark.read.schema(T.StructType(fields)).option("lineSep", "\n").text(path)
-    line = F.regexp_replace("value", "\r$", "")
+    line = F.regexp_replace("value", r"\r\z", "")
     if width is None:
         cut = F.length("value") - F.length(F.replace("value", F.lit(SEPARATOR), F.lit("")))
         width = (raw.agg(F.max(cut)).first()[0] or 0) + 1
@@ -117,7 +138,7 @@ class Catalog:
             raise QueryError(f"no table {name!r}; there are {', '.join(sorted(self.tables)) or 'none'}")
         if name not in self.frames:
             t = self.tables[name]
-            self.frames[name] = self.spark.read.parquet(t.path) if t.format == "parquet" else read_text(self.spark, t.path, t.keys, t.width)
+            self.frames[name] = read_parquet(self.spark, t.path, t.keys) if t.format == "parquet" else read_text(self.spark, t.path, t.keys, t.width)
         return self.frames[name]
 
     def __iter__(self) -> Iterator[str]:

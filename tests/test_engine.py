@@ -132,3 +132,23 @@ def test_stream(spark, tmp_path):
         assert spark.table("counts").collect()[0]["n0"] == 3
     finally:
         run.stop()
+
+
+def test_a_bad_pattern_spoils_no_other_line(engine):
+    lines = ["t name != '' name ALL_LIKE ['%red%']", "t name != '' name ALL_LIKE ['%re\\d%']", "t name ~ '' name ALL_LIKE ['%']", "t name != '' name NONE_LIKE ['%e%']"]
+    found = Engine(engine.catalog, dialect="sql").answers(lines)
+    assert [a.count for a in found] == [3, None, None, 4] and "stray escape" in found[1].error and "unknown comparison" in found[2].error
+
+
+def test_many_beginnings_are_pushed_as_a_range(spark, tmp_path):
+    words = [f"{a}{b}" for a in "bdf\ud7ff" for b in "abcdef"]
+    made = [(w + x,) for w in [*words, "a", "zz", "\U0010ffff", ""] for x in ("", "x", "\ud7ff", "\U0010ffff")]
+    spark.createDataFrame(made, "name string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    got = df.where(like_quantified(F.col("name"), "ANY_LIKE", [w + "%" for w in words]))
+    assert sorted(r["name"] for r in got.collect()) == sorted(n for (n,) in made if n.startswith(tuple(words)))
+    text = got._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(name,ba)" in text and "LessThan(name," in text
+    # Endings may stand anywhere in the order.
+    got = df.where(like_quantified(F.col("name"), "ANY_LIKE", [w + "%" for w in words] + ["%" + w for w in words]))
+    assert got.count() == sum(n.startswith(tuple(words)) or n.endswith(tuple(words)) for (n,) in made)

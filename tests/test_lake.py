@@ -22,6 +22,7 @@ def rows(df):
         (b"a|b\r\nc\r\n", [("a", "b"), ("c", "")]),
         (b"a|b\r\nc|d|e\r\n", [("a", "b", ""), ("c", "d", "e")]),
         (b"c\rd|e\r\n", [("c\rd", "e")]),
+        (b"c|a\r\r\n", [("c", "a\r")]),
         (b'"a|b"\n', [('"a', 'b"')]),
         ("é|你\r\n".encode(), [("é", "你")]),
         (b"", []),
@@ -94,6 +95,62 @@ def test_unknown_columns(spark, lake):
         engine.count("t column7 = 'a' column0 ALL_LIKE ['%']")
 
 
+def test_parquet_lakes_keep_keys_as_written(spark, tmp_path):
+    root = tmp_path / "database"
+    for k, n in (("01", 1), ("9", 2), ("10", 3), ("1.5", 4), ("x y%", 5)):
+        spark.range(n).selectExpr("CAST(id AS STRING) AS c").coalesce(1).write.parquet(str(root / "t" / f"k={k.replace('%', '%25')}" / "q=1"))
+        for f in (root / "t" / f"k={k.replace('%', '%25')}" / "q=1").glob("*"):
+            if not f.name.endswith(".parquet"):
+                f.unlink()
+    (root / "t" / "k=00" / "q=1").mkdir(parents=True)  # the first branch is empty
+    (root / "t" / "k=9" / "q=1" / "_SUCCESS").touch()
+    catalog = discover(spark, str(root))
+    assert catalog.tables["t"].keys == ("k", "q") and catalog.tables["t"].format == "parquet" and not catalog.errors
+    engine = Engine(catalog)
+    assert dict(catalog.table("t").dtypes) == {"c": "string", "k": "string", "q": "string"}
+    for condition, n in (("= '01'", 1), ("= '1'", 0), ("> '10'", 2 + 5), ("< '1.5'", 1), ("= '1.5'", 4), ("= 'x y%'", 5), ("!= ''", 15)):
+        assert count(engine, f"t k {condition.split()[0]} {condition.split(' ', 1)[1]} c NONE_LIKE []") == n
+    text = plan(engine.count("t k > '10' c ANY_LIKE ['1%']"))
+    assert "PartitionFilters: [isnotnull(k" in text and "PushedFilters: [IsNotNull(c), StringStartsWith(c,1)]" in text
+
+
+@pytest.mark.parametrize(
+    "files, error",
+    [
+        (["k=1/f.csv", "j=2/f.csv"], "partitioned by j or k"),
+        (["k=1/f.csv", "k=2/j=1/f.csv"], "both files and folders"),
+        (["k=1/f.csv", "odd/f.csv"], "named key=value"),
+        (["k=1/f.csv", "k=2/f.parquet"], "both Parquet and other files"),
+    ],
+)
+def test_every_branch_is_looked_at(spark, tmp_path, files, error):
+    for f in files:
+        (at := tmp_path / "database" / "t" / f).parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"a\n")
+    assert error in discover(spark, str(tmp_path / "database")).errors["t"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Own
+
+    from tarn.sources.scratch import shared_folder
+
+    folders = []
+    session = lambda master: Own(sparkContext=Own(getCheckpointDir=lambda: folders[-1] if folders else None, setCheckpointDir=folders.append, master=master), conf=Own(get=lambda *_: None))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="share"):
+            shared_folder(session(master))
+    assert shared_folder(session("local[4]")) == folders[-1]
+
+
+def test_a_count_may_read_footers_only(spark, tmp_path):
+    from tarn.operators.metadata import row_count
+
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    df = row_count(spark, str(tmp_path / "t"))
+    assert "PushedAggregation: [COUNT(*)]" in plan(df) and df.first()["n_rows"] == 1000
+
+
 def plan(df):
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
