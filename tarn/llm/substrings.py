@@ -111,7 +111,7 @@ def _around(keyed: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text", PART):
+            for part in chunks(batch.filter(batch["rid"].is_valid()), "_text", PART):
                 w, kept, anchor, new, twice = _window_runs(part["_text"], length, seed)
                 begin = np.flatnonzero(new)
                 size, row, key = np.diff(np.append(begin, len(kept))), w.row[kept[begin]] if len(kept) else begin, anchor[begin]
@@ -173,8 +173,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int | None = None) -
     anchors = marks.where("key IS NOT NULL").select("key", "rid")
     again = checkpointed(anchors.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     listed = anchors.join(unplaced(again, "key"), "key").groupBy("rid").agg(*(F.collect_set(F.when(c, F.col("key"))).alias(n) for n, c in (("few", F.col("size") <= CROWD), ("many", F.col("size") > CROWD))))
-    # All columns go along, so that the texts are dealt out once for this join and for the last one.
-    around = _around(keyed.join(listed, F.col("_rid") == F.col("rid")), length, seed).repartition("key")
+    # All columns go along and both joins keep all rows, so the texts are dealt out once for this join and for the last one.
+    around = _around(keyed.join(listed, F.col("_rid") == F.col("rid"), "left"), length, seed).repartition("key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by key; a key's rows are kept until the next key begins."""
@@ -242,6 +242,21 @@ def drop_repeats(docs: DataFrame, length: int = 50, seed: int | None = None, out
     return joined.mapInArrow(cut, schema)
 
 
+#: The query in DuckDB's SQL, which groups all windows by their words.
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+x AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS words FROM p),
+twice AS (SELECT words FROM x GROUP BY words HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM x JOIN twice USING (words)),
+every AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT e.r, count(*) AS n, count(g.j) AS gone, string_agg(word, ' ' ORDER BY e.j) FILTER (WHERE g.j IS NULL) AS kept
+      FROM every e LEFT JOIN gone g ON g.r = e.r AND g.j = e.j GROUP BY e.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_repeats(docs, 35).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
