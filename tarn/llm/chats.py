@@ -69,11 +69,13 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     # A prefix is proper if the same conversation goes on after it.
     longest = ends.select(F.col("conv").alias("_c"), F.col("pos").alias("_n"))
     inner = t.join(longest, F.col("conv").eqNullSafe(F.col("_c"))).where(F.col("pos") < F.col("_n")).select("pos", "px", "py").distinct()
-    kept = whole.join(inner, ["pos", "px", "py"], "left_anti").select(F.col("conv").alias("_c"), F.col("pos").alias("n_turns"), "n_copies")
-    lines = rows.select("conv", F.struct("turn", "role", "key", render_turn(F.col("role"), F.col("text")).alias("line")).alias("l"))
-    lines = lines.join(checkpointed(kept), F.col("conv").eqNullSafe(F.col("_c")))
-    shown = lines.groupBy("conv").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_set("l")).alias("l"))
-    return shown.select(F.col("conv").alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.col("l.line"), "").alias("rendered"))
+    # Joined and grouped by the same two columns without nulls, so the texts are dealt out once.
+    named = [F.col("conv").isNull().alias("none"), F.coalesce("conv", F.lit(0).cast(rows.schema["conv"].dataType)).alias("c")]
+    kept = whole.join(inner, ["pos", "px", "py"], "left_anti").select(*named, F.col("pos").alias("n_turns"), "n_copies")
+    lines = rows.select(*named, F.struct("turn", "role", "key", render_turn(F.col("role"), F.col("text")).alias("line")).alias("l"))
+    lines = lines.join(checkpointed(kept), ["none", "c"])
+    shown = lines.groupBy("none", "c").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_set("l")).alias("l"))
+    return shown.select(F.when(~F.col("none"), F.col("c")).alias("conv_id"), F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.col("l.line"), "").alias("rendered"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
