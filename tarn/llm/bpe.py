@@ -93,7 +93,7 @@ class Coder(dict):
     back, so there are twice as many at most and frequent ones are never lost.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 60_000):
         import regex
 
         super().__init__()
@@ -121,10 +121,6 @@ class Coder(dict):
         self[piece] = found
         return found
 
-    def forget(self) -> None:
-        self.clear()
-        self.elder = {}
-
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Merge the pair of lowest rank, the leftmost first, until no pair is an entry."""
         n, rank = len(raw), self.ranks.get
@@ -176,7 +172,7 @@ _coders: dict[str, Coder] = {}
 
 
 def _coder(name: str, shared, pattern: str) -> Coder:
-    """One for each worker process and vocabulary."""
+    """One for each worker process and vocabulary; its table of pre-tokens stays for the tasks that follow."""
     if name not in _coders:
         _coders.clear()
         _coders[name] = Coder(shared.value, pattern)
@@ -208,7 +204,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "i
                 if decoded:
                     columns.append(pa.array([coder.decode(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
-        coder.forget()
         release()
 
     return src.mapInArrow(run, schema)
