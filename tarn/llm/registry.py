@@ -7,11 +7,11 @@ from .chats import OP1_SQL, op1_chat_format
 from .html import op5_html
 from .langid import op7_language_id
 from .lines import OP8_SQL, op8_line_dedup
-from .minhash import op2_minhash
+from .minhash import OP2_SQL, op2_minhash
 from .mixing import OP9_SQL, op9_mixing
-from .substrings import op6_substring_dedup
+from .substrings import OP6_SQL, op6_substring_dedup
 from .topk import OP4_SQL, op4_top_k
-from .vectors import op10_embedding_dedup
+from .vectors import OP10_SQL, op10_embedding_dedup
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
@@ -27,7 +27,10 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
+    "op2_minhash": OP2_SQL,
     "op4_top_k": OP4_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_mixing": OP9_SQL,
+    "op10_embedding_dedup": OP10_SQL,
 }

@@ -192,5 +192,19 @@ def _near_pairs(rows: pa.Table, threshold: float, i: np.ndarray, j: np.ndarray)
     return i[near], j[near]
 
 
+#: The query in DuckDB's SQL, which compares all pairs.
+OP10_SQL = """
+WITH RECURSIVE
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a, e b WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT d.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, d.vec_id = c.component_id AS kept
+FROM embeddings d JOIN c ON c.vec_id = d.vec_id LEFT JOIN n ON n.vec_id = d.vec_id
+"""
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

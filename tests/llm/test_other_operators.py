@@ -219,6 +219,43 @@ def test_vectors_edges(spark):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_pipeline_edges(spark, documents, tmp_path):
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ids string, _lang long"
+    some = [(d, t, x, s) for d, t, x, s in documents if t and len(t) > 300][:60]
+    own = max(some, key=lambda r: len(r[1]))[1]
+    line = "A line that very many of these documents share, in which forty characters stand"
+    made = [(d, t, x, s, len(t), "clash", 1) for d, t, x, s in some]
+    made += [(d, f"{t}\n{line}", x, s, 0, "clash", 1) for d, t, x, s in [(10_000 + i, own.replace(" ", f" x{i} ", 40), "en", None) for i in range(6)]]
+    made += [(20_000, own + " end", None, "src1", 5, None, None)] * 3 + [(20_001, None, "en", "src0", 0, None, None), (20_002, "", "en", "src0", 0, None, None), (20_003, "1 2 3", "en", "src0", 0, None, None)]
+    made += [(None, some[0][1], "en", "src2", 9, None, None), (None, some[0][1], None, "src2", 8, None, None), (20_004, own * 40, "en", "src3", None, None, None)]
+    docs = spark.createDataFrame(made, schema)
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    assert [c for c in pipeline.run(spark, folder).columns if c == "ids"] == ["ids"]
+    kept = pipeline.keep_languages(spark, docs, folder)
+    assert kept.columns == list(pipeline.COLUMNS)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(20_000) == 3 and ids.count(None) == 2 and 20_004 in ids and not {20_001, 20_002, 20_003} & set(ids)
+    out = pipeline.drop_lines(spark, docs, folder).collect()
+    assert len(out) == len(made) and sum(line in r["text"] for r in out) == 1 and all(r["n_chars"] == len(r["text"]) for r in out)
+    once = pipeline.drop_copies(spark, docs, folder)
+    assert once.columns == list(pipeline.COLUMNS)
+    rows = [tuple(r) for r in once.collect()]
+    assert len(rows) == len(set(rows)) and sum(r[0] is None for r in rows) == 1 and [r[2] for r in rows if r[0] is None] == [None]
+    assert {20_001, 20_002, 20_003} <= {r[0] for r in rows} and not any(r[0] == 20_000 for r in rows)  # a copy of one of smaller doc_id
+    # Alone, three rows that are the same are one.
+    same = docs.where("doc_id = 20000")
+    assert same.count() == 3 and pipeline.drop_copies(spark, same, folder).count() == 1
+    mixed = pipeline.mix_sources(spark, docs, folder)
+    assert mixed.columns == list(pipeline.COLUMNS) and 0 < mixed.count() < len(made)
+    coded = pipeline.encode(spark, docs, folder).collect()
+    assert len(coded) == len(made) and all(r["ids"] == [] and r["n_tokens"] == 0 for r in coded if r["doc_id"] in (20_001, 20_002))
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.where("false"), folder).count() == 0
+
+
 def test_pipeline_equals_brute_force(spark, data, documents):
     """Stage by stage, each on what the one before kept."""
     import corpus_pipeline as pipeline

@@ -110,6 +110,41 @@ def test_what_weight_0_leaves_goes_to_others(spark):
     assert got == {("D", "x", "A"): (100, 0), ("D", "x", "B"): (10, 10), ("E", "x", "C"): (100, 90), ("E", "z", "C"): (70, 0), ("F", "z", "C"): (40, 0)}
 
 
+def poured(budget, children):
+    """Pour by weight again and again, until nothing is left or all are full: {name: whole tokens} for {name: (weight, cap)}."""
+    from fractions import Fraction
+
+    have, left = dict.fromkeys(children, Fraction(0)), Fraction(budget)
+    while left and (thirsty := {n: w for n, (w, cap) in children.items() if w and have[n] < cap}):
+        # As much as goes until the next one is full.
+        part = min([left / sum(thirsty.values()), *((children[n][1] - have[n]) / w for n, w in thirsty.items())])
+        for n, w in thirsty.items():
+            have[n] += part * w
+        left -= part * sum(thirsty.values())
+    return {n: int(x) for n, x in have.items()}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_budgets_equal_pouring(spark, seed):
+    from random import Random
+
+    r = Random(seed)
+    weights = {level: {f"{level[0]}{i}": r.choice([0, 1, 1, 2, 3, 7]) for i in range(4)} for level in mixing.LEVELS}
+    made = [(d, x, s, r.choice([0, 1, 10, 100, 1000, 12_345])) for d in ("d0", "d1", "d2") for x in ("l0", "l1", "l2", None) for s in ("s0", "s1", "s2", "s3") if r.random() < 0.7]
+    epochs, total = r.choice([1, 3]), r.choice([50, 3000, 20_000, 10**6])
+    w = lambda level, name: weights[level].get(name, 1)
+    # What a subtree can give: nothing of it passes a weight of 0.
+    supply = {(d, x, s): n * epochs * (w("domain", d) > 0 < w("lang", x)) * (w("source", s) > 0) for d, x, s, n in made}
+    below = lambda *key: sum(n for k, n in supply.items() if k[: len(key)] == key)
+    expected = {}
+    for d, b in poured(total, {d: (w("domain", d), below(d)) for d, *_ in made}).items():
+        for x, c in poured(b, {x: (w("lang", x), below(d, x)) for e, x, *_ in made if e == d}).items():
+            expected |= {(d, x, s): n for s, n in poured(c, {s: (w("source", s), below(d, x, s)) for e, y, s, _ in made if (e, y) == (d, x)}).items()}
+    got = {(b["domain"], b["lang"], b["source"]): b["budget"] for b in mixing.budgets(leaf(spark, made), total, weights, 1, epochs).collect()}
+    assert got == expected
+    assert min(total, sum(supply.values())) - len(made) * 3 <= sum(got.values()) <= min(total, sum(supply.values()))
+
+
 def test_mix_edges(spark):
     from pyspark.sql import functions as F
 
