@@ -114,3 +114,57 @@ def test_sql_dialect_rejects_stray_escapes():
             compile_pattern(bad, "sql")
     with pytest.raises(ValueError):
         compile_pattern("a", "other")
+
+
+def spelled_out(pattern):
+    """The class and its pieces (a wildcard is None), character by character."""
+    free = [c for i, c in enumerate(pattern) if c in "%_" and not (i and pattern[i - 1] == "\\")]
+    n, percents, wilds = len(pattern), free.count("%"), free.count("_")
+
+    def clean(text, bar):
+        out = []
+        for i, c in enumerate(text):
+            after_backslash = i > 0 and text[i - 1] == "\\"
+            if c == "\\" and not after_backslash:
+                continue
+            out.append(None if c == "_" and not after_backslash or bar and c == "|" else c)
+        return out
+
+    if percents == n:
+        return Kind.ANY, []
+    if wilds == n:
+        return Kind.ANY_FIXED, [[None] * n]
+    if percents == 0:
+        return Kind.CONST, [clean(pattern, wilds > 0)]
+    if percents == 2 and pattern.startswith("%") and pattern.endswith("%"):
+        return Kind.FIXED, [clean(pattern[1:-1], wilds > 0)]
+    if percents == 1 and pattern.startswith("%"):
+        return Kind.SUFFIX, [clean(pattern[1:], wilds > 0)]
+    if percents == 1 and pattern.endswith("%"):
+        return Kind.PREFIX, [clean(pattern[:-1], wilds > 0)]
+    begin, end = 0, n
+    while pattern[begin] == "%":
+        begin += 1
+    while pattern[end - 1] == "%":
+        end -= 1
+    pieces, piece = [], ""
+    for i in range(begin, end):
+        single = i > 1 and pattern[i - 1] == "\\" and pattern[i - 2] != "\\"
+        if pattern[i] == "%" and not single:
+            pieces.append(piece)
+            piece = ""
+        else:
+            piece += pattern[i]
+    return Kind.FULL, [x for x in (clean(p, True) for p in [*pieces, piece]) if x]
+
+
+def test_all_short_patterns_with_backslashes():
+    from itertools import product
+
+    for n in range(7):
+        for letters in product("a%_|\\" if n < 6 else "a%_\\", repeat=n):
+            pattern = "".join(letters)
+            found = compile_pattern(pattern)
+            parts = [[c for p in t for c in ([None] if p is None else p)] for t in found.tokens]
+            kind, pieces = spelled_out(pattern)
+            assert (found.kind, [p for p in parts if p]) == (kind, [p for p in pieces if p]), pattern
