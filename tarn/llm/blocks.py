@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unplaced
+from .common import checkpointed, unplaced
 
 #: Rows of a block, and of a group that is compared together with others.
 BLOCK, FEW = 512, 24
@@ -17,18 +17,41 @@ BLOCK, FEW = 512, 24
 Compare = Callable[[pa.Table, tuple[np.ndarray, np.ndarray] | None], pa.RecordBatch]
 
 
+def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+    """``keyed`` with its number of ``blocks``, its ``own`` one, and from which to which its blocks need not be compared (``lo``, ``hi``)."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    if "c" not in keyed.columns:
+        held = keyed.join(unplaced(sizes, "key"), "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        return held.withColumns({"own": F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"), "lo": F.lit(0), "hi": F.lit(0)})
+    # Parts of more than a block have blocks of their own, behind those of all other rows.
+    large = checkpointed(keyed.groupBy("key", "c").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("k", F.ceil(F.col("n") / block).cast("int")))
+    if large.isEmpty():
+        return _dealt(keyed.drop("c"), block)
+    before = Window.partitionBy("key").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    sums = large.groupBy("key").agg(F.sum("n").alias("in_large"), F.sum("k").alias("of_large"))
+    sizes = sizes.join(sums, "key", "left").select("key", F.ceil((F.col("size") - F.coalesce("in_large", F.lit(0))) / block).cast("int").alias("rest"), F.coalesce("of_large", F.lit(0)).cast("int").alias("of_large"))
+    large = large.select(F.col("key").alias("_k"), F.col("c").alias("_c"), "k", F.coalesce(F.sum("k").over(before), F.lit(0)).cast("int").alias("skip"))
+    held = keyed.join(unplaced(sizes, "key"), "key").join(large, (F.col("key") == F.col("_k")) & (F.col("c") == F.col("_c")), "left")
+    one, own = F.col("k").isNotNull(), F.xxhash64("a")
+    lo = F.when(one, F.col("rest") + F.col("skip")).otherwise(0)
+    held = held.withColumns({"blocks": F.col("rest") + F.col("of_large"), "lo": lo, "hi": F.when(one, lo + F.col("k")).otherwise(0)})
+    return held.withColumn("own", F.when(one, F.col("lo") + F.pmod(own, F.col("k"))).otherwise(F.pmod(own, F.greatest(F.col("rest"), F.lit(1)))).cast("int"))
+
+
 def in_blocks(keyed: DataFrame, rows: DataFrame, f: Compare, schema: str, block: int = BLOCK) -> DataFrame:
     """f for each pair of blocks of every key that two or more rows of ``keyed`` (a, key) share.
 
+    With a column ``c`` in ``keyed``, only rows of different c are of interest: what of a
+    key has one c and is more than a block is dealt out to other blocks than its own only.
+
     ``rows`` has what f needs of each ``a``; f also gets ``key``, the block numbers
     ``x`` <= ``y`` and each row's ``own`` one.  A key of b blocks is dealt to b (b + 1) / 2
     groups, so no task holds more than about two blocks of a key at once; two different
     blocks are only compared with each other, a block with itself where x = y.  Most
     groups are a few rows: those of an Arrow batch are given to f together.
     """
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    held = keyed.join(unplaced(sizes, "key"), "key").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    held = _dealt(keyed, block).withColumn("with", F.explode(F.filter(every, lambda x: (x < F.col("lo")) | (x >= F.col("hi")))))
     held = held.select("a", "key", "own", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"))
     names = ["key", "x", "y"]
 

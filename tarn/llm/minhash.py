@@ -182,7 +182,7 @@ Pairs = tuple[np.ndarray, np.ndarray] | None
 
 def _apart(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs in different components whose first shared band this is and that may be similar; their matches."""
-    c = t["c"].to_numpy()
+    c = t["own_c"].to_numpy()
     i, j = np.nonzero(np.triu(comparable(t))) if pairs is None else pairs
     other = c[i] != c[j]
     i, j = i[other], j[other]
@@ -198,7 +198,7 @@ def _apart(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) ->
 def _rows_with_survivors(t: pa.Table, pairs: Pairs, num: int, den: int, enough: list[int]) -> pa.RecordBatch:
     i, j, _ = _apart(t, pairs, num, den, enough)
     some = pa.array(np.unique(np.concatenate([i, j])))
-    return pa.RecordBatch.from_arrays([t[x].combine_chunks().take(some) for x in ("key", "a")], ["key", "a"])
+    return pa.RecordBatch.from_arrays([t[x].combine_chunks().take(some) for x in ("key", "a", "own_c")], ["key", "a", "c"])
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -213,8 +213,8 @@ def _links(t: pa.Table, pairs: Pairs, k: int, num: int, den: int, enough: list[i
     order = np.argsort(-same, kind="stable")
     a, some = t["a"].to_numpy(), np.unique(np.concatenate([i, j]))
     sets = dict(zip(some.tolist(), exact_sets(t["text"].combine_chunks().take(pa.array(some)).to_pylist(), k)))
-    up = {x: x for x in t["c"].to_pylist()}
-    c = t["c"].to_pylist()
+    c = t["own_c"].to_pylist()
+    up = {x: x for x in c}
 
     def top(x: int) -> int:
         while up[x] != x:
@@ -306,7 +306,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     component = apart.groupBy("a").agg(F.min("c").alias("c"))
     rows_of = checkpointed(component.join(classes.select(F.col("id").alias("a"), "n_shingles", "bands", "sig"), "a"))
     enough = least_matches(num / den, bands * rows, miss)
-    near = in_blocks(apart.select("key", "a"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long", 1024).distinct()
+    rows_of = rows_of.withColumnRenamed("c", "own_c")
+    near = in_blocks(apart.select("key", "a", "c"), rows_of, lambda t, pairs: _rows_with_survivors(t, pairs, num, den, enough), "key long, a long, c long", 1024).distinct()
     rows_of = rows_of.join(texts.withColumnRenamed("id", "a"), "a")
     late = checkpointed(in_blocks(checkpointed(near), rows_of, lambda t, pairs: _links(t, pairs, k, num, den, enough), "a long, b long", 512).distinct())
     node = parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))

@@ -11,7 +11,7 @@ same components are one row with a count all the way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, ceil, log, log2, pi
 
 import numpy as np
@@ -26,6 +26,8 @@ from .words import U, mix
 
 #: The chance to miss a pair at the threshold, and the vectors of a component within which all pairs are compared.
 MISS, WHOLE = 1e-4, 4096
+#: Bits of a key (of two codes that give one, only more is compared), and bytes of packed keys that a task looks at together.
+KEY, PACKED = 48, 32 << 20
 
 
 def tables_for(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
@@ -63,6 +65,71 @@ def _codes(x: np.ndarray, bits: int, count: int) -> np.ndarray:
     return mix(keys.astype(U) + (np.arange(count, dtype=U) << U(bits)))
 
 
+def _shared_keys(vectors: DataFrame, keys_of: Callable, pairs: int, count: int) -> DataFrame:
+    """key, a: the keys that two or more of ``vectors`` (a, v) have, of ``pairs`` keys in all.
+
+    Most keys are of one vector only, so they travel packed, some thousand in a row.  Of a
+    key that several vectors of a task's batch have, one is sent on to tell the other
+    batches, so a key of any number of vectors is no burden to the task that looks at it.
+    """
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(pairs * 16 / PACKED))
+
+    def packed(key: np.ndarray, a: np.ndarray) -> bytes:
+        return key.tobytes() + a.tobytes()
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, keys in keys_of(batch, max(64, min(2048, (1 << 20) // count))):
+                key, a = keys.reshape(-1), np.repeat(own["a"].to_numpy(), count)
+                order = np.lexsort((key, key % parts))
+                key, a = key[order], a[order]
+                new = np.append(True, key[1:] != key[:-1])
+                several = ~new
+                several[:-1] |= ~new[1:]
+                begin = np.flatnonzero(new)
+                word, first, of = key[begin] * 2 + several[begin], a[begin], key[begin] % parts
+                cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                rows = [(int(of[s]), False, packed(word[s:e], first[s:e])) for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)])]
+                if several.any():
+                    rows.append((int(of[0]), True, packed(key[several], a[several])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], ["part", "known", "data"])
+
+    def opened(rows: list[bytes]) -> np.ndarray:
+        every = [np.frombuffer(x, np.int64).reshape(2, -1) for x in rows]
+        return np.concatenate(every, 1) if every else np.zeros((2, 0), np.int64)
+
+    def made(key: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a)], ["key", "a"])
+
+    def look(held: list[bytes]) -> pa.RecordBatch:
+        word, a = opened(held)
+        order = word.argsort(kind="stable")
+        word, a = word[order], a[order]
+        new = np.append(True, word[1:] >> 1 != word[:-1] >> 1) if len(word) else np.zeros(0, bool)
+        several = ~new
+        several[:-1] |= ~new[1:]
+        several &= word & 1 == 0  # the others are known
+        return made(word[several] >> 1, a[several])
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by part; a part's are looked at together."""
+        part, held = None, []
+        for batch in batches:
+            for p, known, data in zip(batch["part"].to_pylist(), batch["known"].to_pylist(), batch["data"].to_pylist()):
+                if known:
+                    yield made(*opened([data]))
+                    continue
+                if p != part and held:
+                    yield look(held)
+                    held = []
+                part = p
+                held.append(data)
+        if held:
+            yield look(held)
+
+    return vectors.mapInArrow(send, "part int, known boolean, data binary").repartition("part").sortWithinPartitions("part").mapInArrow(receive, "key long, a long")
+
+
 def _labels(adjacent: np.ndarray) -> np.ndarray:
     """The first member of each one's component."""
     n = len(adjacent)
@@ -91,21 +158,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
     src = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).alias("v"))
     good = checkpointed(src.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.max("v").alias("v")))
     same = checkpointed(good.groupBy("v").agg(F.min("id").alias("a"), F.count("*").alias("copies")))
-    bits, count = tables_for(same.count(), threshold, miss)
-
-    def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = same.count()
+    bits, count = tables_for(n, threshold, miss)
+
+    def keys_of(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        size = pc.list_value_length(batch["v"]).to_numpy()
+        for width in np.unique(size).tolist():
+            of = batch.filter(pa.array(size == width))
+            for at in range(0, len(of), most):
+                own = of.slice(at, most)
+                yield own, (mix(_codes(_unit(_matrix(own["v"])), bits, count) ^ U(width << 32)) >> U(64 - KEY)).astype(np.int64)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.list_value_length(batch["v"]).to_numpy()
-            for width in np.unique(size).tolist():
-                of = batch.filter(pa.array(size == width))
-                for at in range(0, len(of), 2048):
-                    own = of.slice(at, 2048)
-                    keys = mix(_codes(_unit(_matrix(own["v"])), bits, count) ^ U(width << 32))
-                    ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * np.int32(count))
-                    yield pa.RecordBatch.from_arrays([own["a"], pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1).view(np.int64)))], ["a", "keys"])
-
-    coded = checkpointed(same.select("a", "v").mapInArrow(hash_rows, "a long, keys array<long>"))
-    keyed = coded.select("a", F.explode("keys").alias("key"))
+            for own, keys in keys_of(batch, 2048):
+                ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * np.int32(count))
+                yield pa.RecordBatch.from_arrays([own["a"], own["v"], own["copies"], pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))], ["a", "v", "copies", "keys"])
+
+    keyed = checkpointed(_shared_keys(same.select("a", "v"), keys_of, n * count, count))
 
     def forest(rows: pa.Table, pairs: Pairs) -> pa.RecordBatch:
         """Links between few rows, of many a forest of them."""
@@ -137,9 +207,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
     links = in_blocks(parts.join(large, F.col("key") == F.col("_key"), "left_anti"), same, count_links, schema)
     if not large.isEmpty():
         some = parts.join(large, F.col("key") == F.col("_key"), "left_semi").select(F.col("a").alias("_a"))
-        rows = same.join(coded.withColumnRenamed("a", "_c"), F.col("a") == F.col("_c")).drop("_c").join(some, F.col("a") == F.col("_a"), "left_semi")
-        rows = checkpointed(rows)
-        links = links.unionByName(in_blocks(rows.select("a", F.explode("keys").alias("key")), rows, count_links, schema))
+        rows = checkpointed(same.join(some, F.col("a") == F.col("_a"), "left_semi").select("a", "v", "copies").mapInArrow(coded, "a long, v array<double>, copies long, keys array<long>"))
+        links = links.unionByName(in_blocks(keyed.join(some, F.col("a") == F.col("_a"), "left_semi").distinct(), rows, count_links, schema))
     links = links.groupBy("a").agg(F.sum("links").alias("links"))
     found = same.join(links, "a", "left").join(parts, "a", "left")
     found = found.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("key", "a").alias("c"))
