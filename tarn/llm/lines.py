@@ -30,10 +30,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     document for counting; each row keeps its own text.  Other columns pass through.
     """
     keyed = docs.select("*", F.xxhash64("text").alias("_t"))
-    # Only the keys' hashes leave the scan: two chained 64-bit hashes make 128 bits.
+    # Only the keys' hashes leave the scan: 128 bits of their SHA-256, for which no two lines can be made up.
     lines = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.posexplode(_lines(F.col("text"))).alias("_p", "_line"))
     lines = lines.where(F.length("_line") >= min_chars).select("_d", "_t", "_p", F.btrim("_line", F.lit(SPACES)).alias("_k"))
-    lines = lines.where(F.length("_k") >= min_chars).select("_d", "_t", "_p", ascii_lower(F.col("_k")).alias("_k"))
+    lines = lines.where(F.length("_k") >= min_chars).select("_d", "_t", "_p", F.sha2(ascii_lower(F.col("_k")), 256).alias("_k"))
     lines = lines.select("_d", "_t", "_p", F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit(8), "_k").alias("_h2"))
     lines = checkpointed(lines)  # read twice, and far smaller than the texts
     # One row per key and document first, so a line in a third of all documents is counted in parts.
