@@ -81,12 +81,18 @@ def read_parquet(spark: SparkSession, path: str, keys: tuple[str, ...] = ()) ->
     return spark.read.schema(T.StructType([*(f for f in own if f.name not in keys), *(T.StructField(k, T.StringType()) for k in keys)])).parquet(path)
 
 
-def read_text(spark: SparkSession, path: str, keys: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
+#: Lines at the head of a table that tell its width.
+HEAD = 1000
+
+
+def read_text(spark: SparkSession, path: str, keys: tuple[str, ...] = (), width: int | None = None, head: int | None = None) -> DataFrame:
     """A delimited file or folder as ``column0 ...`` and the partition keys, all strings.
 
     Rows end with LF or CRLF (a lone CR is data); the last one needs no end.  There is no
     quoting and no header.  ``width`` is the number of columns; by default that of the
-    widest row, which takes a pass over the data.  Cells that a row lacks are ''.
+    widest row, which takes a pass over the data, or with ``head`` of the widest of the
+    first so many lines; a wider row that is read later is an error then.  Cells that a
+    row lacks are ''.
     """
     fields = [T.StructField("value", T.StringType()), *(T.StructField(k, T.StringType()) for k in keys)]
     # With the keys in the schema, '01' stays '01' and '9' > '10', whatever the session infers.
@@ -94,8 +100,13 @@ def read_text(spark: SparkSession, path: str, keys: tuple[str, ...] = (), width:
     line = F.regexp_replace("value", r"\r\z", "")
     if width is None:
         cut = F.length("value") - F.length(F.replace("value", F.lit(SEPARATOR), F.lit("")))
-        width = (raw.agg(F.max(cut)).first()[0] or 0) + 1
-    cells = raw.select(F.split(line, r"\|", -1).alias("_cells"), *(F.col(f"`{k}`") for k in keys))
+        width = ((raw.limit(head) if head else raw).agg(F.max(cut)).first()[0] or 0) + 1
+    else:
+        head = None
+    found = F.split(line, r"\|", -1)
+    if head:
+        found = F.when(F.size(found) <= width, found).otherwise(F.raise_error(F.lit(f"{path} has rows of more than the {width} cells at its head; its width must be given")))
+    cells = raw.select(found.alias("_cells"), *(F.col(f"`{k}`") for k in keys))
     return cells.select(*(F.coalesce(F.get("_cells", F.lit(i)), F.lit("")).alias(f"column{i}") for i in range(width)), *(F.col(f"`{k}`") for k in keys))
 
 
@@ -138,7 +149,7 @@ class Catalog:
             raise QueryError(f"no table {name!r}; there are {', '.join(sorted(self.tables)) or 'none'}")
         if name not in self.frames:
             t = self.tables[name]
-            self.frames[name] = read_parquet(self.spark, t.path, t.keys) if t.format == "parquet" else read_text(self.spark, t.path, t.keys, t.width)
+            self.frames[name] = read_parquet(self.spark, t.path, t.keys) if t.format == "parquet" else read_text(self.spark, t.path, t.keys, t.width, HEAD)
         return self.frames[name]
 
     def __iter__(self) -> Iterator[str]:

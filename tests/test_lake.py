@@ -89,6 +89,20 @@ def test_routes(spark, lake, line, n):
     assert count(Engine(discover(spark, str(lake))), line) == n
 
 
+def test_the_head_tells_the_width(spark, tmp_path):
+    from tarn.sources import lake as module
+
+    (folder := tmp_path / "database" / "t").mkdir(parents=True)
+    (folder / "f.csv").write_bytes(b"a|b\n" * module.HEAD + b"c|d|e\n")
+    wide = Engine(discover(spark, str(tmp_path / "database"), {"t": 3}))
+    assert count(wide, "t column2 = 'e' column0 ALL_LIKE ['c']") == 1
+    found = discover(spark, str(tmp_path / "database"))
+    assert found.table("t").columns == ["column0", "column1"]
+    with pytest.raises(Exception, match="width must be given"):
+        count(Engine(found), "t column1 = 'd' column0 ALL_LIKE ['c']")
+    assert read_text(spark, str(folder)).columns == ["column0", "column1", "column2"]
+
+
 def test_unknown_columns(spark, lake):
     engine = Engine(discover(spark, str(lake)))
     with pytest.raises(QueryError, match="no column"):
