@@ -166,6 +166,34 @@ def test_pages_edges(spark):
     assert {r["host"] for r in html.wrappers(df).collect()} == {"", "h"}
 
 
+@pytest.mark.parametrize("block", [3, 8, 1000])
+def test_blocks_meet_once(spark, block):
+    import pyarrow as pa
+
+    def pairs_of(t, pairs):
+        if pairs is None:
+            i, j = np.nonzero(np.triu(blocks.comparable(t)))
+        else:
+            i, j = pairs
+        a = t["a"].to_numpy()
+        return pa.RecordBatch.from_arrays([t["key"].combine_chunks().take(pa.array(i)), pa.array(np.minimum(a[i], a[j])), pa.array(np.maximum(a[i], a[j]))], ["key", "x", "y"])
+
+    groups = {1: [0] * 40 + [1] * 9 + [2, 3, 4], 2: [5] * 20, 3: [6, 7], 4: list(range(10, 50)), 5: [8], 6: [9] * 30 + [1] * 30}
+    keyed = [(k, 1000 * k + i, c) for k, own in groups.items() for i, c in enumerate(own)]
+    c = {a: c for _, a, c in keyed}
+    df = spark.createDataFrame(keyed, "key long, a long, c long")
+    every = sorted((k, a, b) for k, own in groups.items() for i in range(len(own)) for j in range(i + 1, len(own)) for a, b in [(1000 * k + i, 1000 * k + j)])
+    for frame in (df.drop("c"), df):
+        got = sorted(map(tuple, blocks.in_blocks(frame, df.select("a"), pairs_of, "key long, x long, y long", block).collect()))
+        assert len(got) == len(set(got)) and set(got) <= set(every)
+        if "c" not in frame.columns:
+            assert got == every
+        else:
+            assert {x for x in got if c[x[1]] != c[x[2]]} == {x for x in every if c[x[1]] != c[x[2]]}
+            # What is in one part of more than a block meets nothing of its own.
+            assert not any(c[a] == c[b] and list(c.values()).count(c[a]) > block and groups[k].count(c[a]) > block for k, a, b in got)
+
+
 def near_brute(made, threshold=0.9):
     good = {}
     for i, v in made:
