@@ -228,7 +228,7 @@ def _of_page(root: Node, bit: int = 1) -> Item:
 def _merge(a: Item, b: Item, later: Later) -> Item:
     """The least wrapper of both: equal labels, different texts become a slot.  Its parts are merged later."""
     made = Item(a.label, [], a.text if a.text == b.text else None, a.optional or b.optional, a.repeated or b.repeated, a.boiler, a.header, a.main, a.tag, max(a.size, b.size), a.pages | b.pages)
-    if a.kids or b.kids:
+    if a.label != "#":
         later.append((made, a, b))
     return made
 

@@ -95,6 +95,14 @@ def test_pages_are_parsed_by_the_expression():
     assert html.cut(page("e", "q", ad="<pre>new</pre>"), learned) == "e\n\nq\n\nqh\n\nq1\n\nq2\n\nnew"
 
 
+def test_parts_that_are_merged_again_keep_what_is_in_them():
+    page = lambda *parts: "<body><div class=box><h1>t</h1>" + "".join(f"<{x[0]}>{x[1]}</{x[0]}>" for x in parts) + "</div></body>"
+    h, p = lambda x: ("h2", x), lambda x: ("p", x)
+    pages = [page(h("a"), p("b"), p("c"), h("d"), p("e"), p("f"), p("g")), page(h("i"), p("j"))]
+    learned = html.Wrapper.learn(pages)
+    assert html.cut(pages[0], learned) == "\n\n".join("abcdefg") and html.cut(pages[1], learned) == "i\n\nj"
+
+
 def test_sequences_of_any_length_are_aligned():
     from random import Random
 
