@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .blocks import comparable, in_blocks
 from .common import checkpointed, connected_components, table, unplaced
-from .words import U, Words, chunks, exact_sets, inverse, mix, powers, release, runs, words, _Q
+from .words import STRONG, U, Words, chunks, exact_sets, inverse, mix, powers, release, runs, words, _Q
 
 #: Signature values compared before each decision.
 BATCH = 30
@@ -99,7 +99,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "_text", 2 << 20):
-                w = words(part["_text"], fold=True)
+                w = words(part["_text"], fold=True, digest=STRONG)
                 sets, h = _shingles(w, k)
                 n = np.array([len(x) for x in sets], np.int64)
                 full = np.flatnonzero(n)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, stored, table, unplaced
-from .words import U, Words, chunks, exact_runs, release, runs, words
+from .words import QUICK, U, Words, chunks, exact_runs, release, runs, words
 
 #: An anchor of more rows is crowded: its windows are counted one by one, before and after the shuffle.
 CROWD = 1024
@@ -51,7 +51,7 @@ def _window_runs(column: pa.Array, length: int, seed: int):
     Gives the words, the positions of first occurrences, their anchors, where their runs
     begin, and the positions of all windows that occur twice or more.
     """
-    w = words(column)
+    w = words(column, digest=QUICK)
     h, inside = runs(w, length)
     at = np.flatnonzero(inside)
     low, _ = runs(w, seed)

@@ -1,20 +1,22 @@
 """Words, their hashes and exact numbers, for whole Arrow batches at a time.
 
-A word is a run of bytes other than ASCII white space.  Each distinct word of a batch is
-looked up in a table once and gets a number there, and a 128-bit BLAKE2b digest, so no text
-can be made up whose words are taken for others.
+A word is a run of bytes other than ASCII white space.  Each distinct word of a batch gets a
+number in a table, by which words are compared, and a hash, by which they meet: a quick one
+where the words are compared afterwards, a BLAKE2b digest where they are not, so that no
+text can be made up whose words are taken for others.
 """
 
 from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -83,11 +85,26 @@ class Numbers(dict):
         return n
 
 
+class Digests(dict):
+    """Words' BLAKE2b digests; those of short words met first are kept, as words repeat."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = blake2b(word, digest_size=16).digest()
+        if len(self) < 100_000 and len(word) <= 32:
+            self[word] = digest
+        return digest
+
+
+_digests = Digests()
+#: Ways to get 128 bits of a word.
+STRONG, QUICK = _digests.__getitem__, xxhash.xxh3_128_digest
+
+
 @dataclass
 class Words:
     """Words of some rows: ``tokens``, their exact ``number`` and ``hash``, ``row`` (ascending); ``first[r]:first[r+1]`` are those of row r.
 
-    ``digests``: two 64-bit lanes for each number.
+    ``digests``: two 64-bit lanes for each number; they and ``hash`` are empty if no way to get them was given.
     """
 
     tokens: list[bytes]
@@ -98,8 +115,8 @@ class Words:
     digests: np.ndarray
 
 
-def words(column: pa.Array, fold: bool = False) -> Words:
-    """``fold``: take A-Z as a-z."""
+def words(column: pa.Array, fold: bool = False, digest: Callable[[bytes], bytes] | None = None) -> Words:
+    """``fold``: take A-Z as a-z; ``digest``: ``STRONG`` or ``QUICK``."""
     data, ends = text_buffers(column)
     raw, cuts = memoryview(data), ends.tolist()
     tokens: list[bytes] = []
@@ -110,9 +127,9 @@ def words(column: pa.Array, fold: bool = False) -> Words:
         first[r + 1] = len(tokens)
     table = Numbers()
     number = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
-    digests = np.frombuffer(b"".join([blake2b(x, digest_size=16).digest() for x in table]), U).reshape(-1, 2)
+    digests = np.frombuffer(b"".join(map(digest, table)) if digest else b"", U).reshape(-1, 2)
     row = np.repeat(np.arange(len(column)), np.diff(first))
-    return Words(tokens, row, number, digests[number, 0], first, digests)
+    return Words(tokens, row, number, digests[number, 0] if digest else digests[:, 0], first, digests)
 
 
 def runs(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

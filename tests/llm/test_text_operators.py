@@ -51,7 +51,7 @@ def test_words_and_runs():
     import pyarrow as pa
 
     texts = ["the Cat\tsat", None, "", "  ", "on the mat \n the cat\x0b\x0csat", "the cat sat", "thecat sat", "a\x1cb é x"]
-    w = words.words(pa.array(texts), fold=True)
+    w = words.words(pa.array(texts), fold=True, digest=words.QUICK)
     expected = [(t or "").encode().translate(ASCII).split() for t in texts]
     assert [int(x) for x in (w.first[1:] - w.first[:-1])] == [len(x) for x in expected]
     flat = [x for own in expected for x in own]
@@ -66,7 +66,7 @@ def test_words_and_runs():
     good = [tuple(flat[i : i + 3]) for i in range(len(flat) - 2) if inside[i]]
     assert good.count((b"the", b"cat", b"sat")) == 3
     assert len({int(x) for x, y in zip(h, inside) if y}) == len(set(good))
-    sliced = words.words(pa.array(texts).slice(4, 2), fold=True)
+    sliced = words.words(pa.array(texts).slice(4, 2), fold=True, digest=words.QUICK)
     assert sliced.hash.tolist() == w.hash[w.first[4] : w.first[6]].tolist()
 
 
@@ -122,9 +122,9 @@ def test_equal_hashes_of_other_words_are_other_shingles(monkeypatch):
     real = words.runs
     monkeypatch.setattr(minhash, "runs", lambda w, k: (real(w, k)[0] % words.U(5), real(w, k)[1]))
     texts = ["a b c a b c d e f a b d " * 3, "a b", "", "x y z x y z x y z"]
-    w = words.words(pa.array(texts), fold=True)
+    w = words.words(pa.array(texts), fold=True, digest=words.STRONG)
     assert [len(x) for x in minhash._shingles(w, 3)[0]] == [len(shingles(t, 3)) for t in texts]
-    prints = [minhash._fingerprint(v, minhash._shingles(v, 3)[0][0], 3, 0) for v in (words.words(pa.array([t])) for t in ("a b c a b c d", "a b c d b c a b c", "c d e", "a b c a b c d a b c"))]
+    prints = [minhash._fingerprint(v, minhash._shingles(v, 3)[0][0], 3, 0) for v in (words.words(pa.array([t]), digest=words.STRONG) for t in ("a b c a b c d", "a b c d b c a b c", "c d e", "a b c a b c d a b c"))]
     assert len(set(prints)) == len({frozenset(shingles(t, 3)) for t in ("a b c a b c d", "a b c d b c a b c", "c d e", "a b c a b c d a b c")})
 
 
