@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from .common import table
 from .words import chunks, release
 
-_M = (1 << 64) - 1
+_M, _PLACE = (1 << 64) - 1, (1 << 40) - 1
 
 
 def _mix(h: int, d: int) -> int:
@@ -93,13 +93,15 @@ class Coder(dict):
     back, so there are twice as many at most and frequent ones are never lost.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 150_000):
         import regex
 
         super().__init__()
         self.ranks, self.most = ranks, most
         self.elder: dict[str, tuple[int, ...]] = {}
         self.single = [bytes([i]) for i in range(256)]
+        self.first = [ranks.get(x, -1) for x in self.single]
+        self.two = [ranks.get(x + y, -1) for x in self.single for y in self.single]
         self.whole = PerfectHash(list(ranks))
         self.ids = list(ranks.values())
         self.bytes = {i: b for b, i in ranks.items()}
@@ -122,26 +124,40 @@ class Coder(dict):
         return found
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
-        """Merge the pair of lowest rank, the leftmost first, until no pair is an entry."""
+        """Merge the pair of lowest rank, the leftmost first, until no pair is an entry.
+
+        The heap has a number for each pair, its rank above its place; a pair that has
+        changed meanwhile has another rank in ``pair``.
+        """
         n, rank = len(raw), self.ranks.get
         parts: list[bytes | None] = list(map(self.single.__getitem__, raw))
+        ids = list(map(self.first.__getitem__, raw))
+        pair = [self.two[a << 8 | b] for a, b in zip(raw, raw[1:])]
+        pair.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
-            _, i, size = heappop(heap)
-            if (left := parts[i]) is None or (j := after[i]) >= n or len(left) + len(parts[j]) != size:
-                continue  # one of the pair has been merged meanwhile
-            parts[i] = left = left + parts[j]
-            parts[j] = None
+            top = heappop(heap)
+            i = top & _PLACE
+            if pair[i] != top >> 40:
+                continue
+            j = after[i]
+            parts[i] = left = parts[i] + parts[j]
+            ids[i], parts[j], pair[j] = top >> 40, None, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank(left + parts[k])) is not None:
-                    heappush(heap, (r, i, size + len(parts[k])))
-            if (h := before[i]) >= 0 and (r := rank(parts[h] + left)) is not None:
-                heappush(heap, (r, h, len(parts[h]) + size))
-        return tuple([rank(p) for p in parts if p is not None])
+                pair[i] = r = rank(left + parts[k], -1)
+                if r >= 0:
+                    heappush(heap, r << 40 | i)
+            else:
+                pair[i] = -1
+            if (h := before[i]) >= 0:
+                pair[h] = r = rank(parts[h] + left, -1)
+                if r >= 0:
+                    heappush(heap, r << 40 | h)
+        return tuple([x for x, p in zip(ids, parts) if p is not None])
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
