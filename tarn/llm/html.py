@@ -401,8 +401,10 @@ def infer(pages: list[str]) -> Item:
 OUT, IN, CLAIM = 0, 1, 2
 
 
-def _decide(wrapper: Item, pages: int) -> tuple[dict[int, int], list[tuple[int, str]], dict[tuple[int, str], int]]:
-    """For each text of the wrapper (by ``id``) whether it belongs to the article; claims (path, digest); paths, numbered by (path above, label).
+def _decide(wrapper: Item, pages: int) -> tuple[dict[int, int], list[tuple[int, str]]]:
+    """For each text of the wrapper (by ``id``) whether it belongs to the article, and the claims (path, digest).
+
+    Paths are numbered as ``Wrapper`` numbers them, in page order.
 
     That is what lies in the article with most text, else in the main element, else in
     the innermost element of such a class that has nearly all the text of any; without
@@ -413,8 +415,8 @@ def _decide(wrapper: Item, pages: int) -> tuple[dict[int, int], list[tuple[int,
     paths: dict[tuple[int, str], int] = {}
     every: list[tuple[Item, Item | None, int, int]] = []  # item, the element it is in, path, depth
     texts: list[tuple[Item, int, Item, bool]] = []  # item, path, the element it is in, clean
-    state = {0: (False, False, False)}  # by element: within boiler, within a header, within a possible article
     holders: list[tuple[Item, int]] = []
+    # By element: within what is never an article, within a header, within a possible article.
     state = {id(wrapper): (wrapper.boiler, wrapper.header, bool(wrapper.main))}
     todo: list[tuple[Item, Item, int, int]] = [(kid, wrapper, 0, 0) for kid in reversed(wrapper.kids)]
     weight = {id(wrapper): 0}
@@ -459,7 +461,7 @@ def _decide(wrapper: Item, pages: int) -> tuple[dict[int, int], list[tuple[int,
             out[id(item)] = IN
         else:
             out[id(item)] = CLAIM + claims.setdefault((path, _digest(item.text)), len(claims))
-    return out, list(claims), paths
+    return out, list(claims)
 
 
 def _digest(text: str) -> str:
@@ -504,7 +506,7 @@ class Wrapper:
 
     @staticmethod
     def of(wrapper: Item, pages: int) -> Wrapper:
-        kinds, claims, _ = _decide(wrapper, pages)
+        kinds, claims = _decide(wrapper, pages)
         labels, above, marks, kind = [], [], [], []
         todo = [(wrapper, -1)]
         while todo:

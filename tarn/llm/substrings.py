@@ -16,7 +16,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,7 +148,7 @@ def _listed(lists: pa.Array, row: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def _extend(rows: pa.Table, length: int) -> pa.RecordBatch:
     """rid, start, n of the windows that occur twice in rows of whole anchors, by their words."""
-    rows = rows.filter(pa.compute.or_(rows["words"].is_null(), pa.compute.greater(rows["n"], 0))).combine_chunks()
+    rows = rows.filter(pc.or_(rows["words"].is_null(), pc.greater(rows["n"], 0))).combine_chunks()
     known = rows["words"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
     w = words(rows["words"].combine_chunks())
     value = exact_runs(w.number, length)
@@ -196,7 +196,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int | None = None) -
 
         def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                some = batch.filter(pa.compute.equal(batch["n"], 0))
+                some = batch.filter(pc.equal(batch["n"], 0))
                 yield pa.RecordBatch.from_arrays([some["words"], some["rid"], some["start"]], ["digest", "rid", "start"])
 
         windows = around.mapInArrow(single, "digest binary, rid binary, start int")

@@ -128,6 +128,22 @@ def test_equal_hashes_of_other_words_are_other_shingles(monkeypatch):
     assert len(set(prints)) == len({frozenset(shingles(t, 3)) for t in ("a b c a b c d", "a b c d b c a b c", "c d e", "a b c a b c d a b c")})
 
 
+def test_equal_hashes_of_other_windows_are_other_windows():
+    import numpy as np
+    from random import Random
+
+    r = Random(8)
+    for hashes in (1, 2, 1 << 40):
+        for _ in range(40):
+            texts = [" ".join(r.choices("abc", k=r.randrange(12))) for _ in range(8)]
+            w = words.words(pa.array(texts), digest=words.QUICK)
+            h, inside = words.runs(w, 3)
+            at = np.flatnonzero(inside)
+            first, several = substrings._firsts(w, at, h[at] % words.U(hashes), 3)
+            own = [tuple(w.tokens[i : i + 3]) for i in at]
+            assert first.tolist() == [own.index(x) for x in own] and several.tolist() == [own.count(x) > 1 for x in own]
+
+
 def test_minhash_of_repeated_ids(spark):
     text = lambda p: " ".join(f"{p}{i}" for i in range(80))
     made = [(5, text("x")), (5, text("y")), (6, text("x") + " z"), (7, text("y") + " z"), (9, text("q")), (8, text("r")), (9, text("r")), (8, text("q")), (10, text("s")), (10, ""), (10, None)]
