@@ -99,9 +99,13 @@ class Coder(dict):
         super().__init__()
         self.ranks, self.most = ranks, most
         self.elder: dict[str, tuple[int, ...]] = {}
-        self.single = [bytes([i]) for i in range(256)]
-        self.first = [ranks.get(x, -1) for x in self.single]
-        self.two = [ranks.get(x + y, -1) for x in self.single for y in self.single]
+        single = [bytes([i]) for i in range(256)]
+        if missing := [x for x in single if x not in ranks]:
+            raise ValueError(f"the vocabulary lacks {len(missing)} bytes")
+        self.first = [ranks[x] for x in single]
+        #: Ranks by two bytes, and by two ids: what is put together from them is an entry.
+        self.two = [ranks.get(x + y, -1) for x in single for y in single]
+        self.joint = {ranks[k[:i]] << 32 | ranks[k[i:]]: r for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
         self.whole = PerfectHash(list(ranks))
         self.ids = list(ranks.values())
         self.bytes = {i: b for b, i in ranks.items()}
@@ -127,37 +131,35 @@ class Coder(dict):
         """Merge the pair of lowest rank, the leftmost first, until no pair is an entry.
 
         The heap has a number for each pair, its rank above its place; a pair that has
-        changed meanwhile has another rank in ``pair``.
+        changed meanwhile has another rank in ``pair``.  What is merged has the id -1.
         """
-        n, rank = len(raw), self.ranks.get
-        parts: list[bytes | None] = list(map(self.single.__getitem__, raw))
+        n, joint = len(raw), self.joint.get
         ids = list(map(self.first.__getitem__, raw))
         pair = [self.two[a << 8 | b] for a, b in zip(raw, raw[1:])]
+        heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
         pair.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 40 | i for i, r in enumerate(pair) if r >= 0]
         heapify(heap)
         while heap:
             top = heappop(heap)
-            i = top & _PLACE
-            if pair[i] != top >> 40:
+            i, r = top & _PLACE, top >> 40
+            if pair[i] != r:
                 continue
             j = after[i]
-            parts[i] = left = parts[i] + parts[j]
-            ids[i], parts[j], pair[j] = top >> 40, None, -1
+            ids[i], ids[j], pair[j] = r, -1, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                pair[i] = r = rank(left + parts[k], -1)
-                if r >= 0:
-                    heappush(heap, r << 40 | i)
+                pair[i] = q = joint(r << 32 | ids[k], -1)
+                if q >= 0:
+                    heappush(heap, q << 40 | i)
             else:
                 pair[i] = -1
             if (h := before[i]) >= 0:
-                pair[h] = r = rank(parts[h] + left, -1)
-                if r >= 0:
-                    heappush(heap, r << 40 | h)
-        return tuple([x for x, p in zip(ids, parts) if p is not None])
+                pair[h] = q = joint(ids[h] << 32 | r, -1)
+                if q >= 0:
+                    heappush(heap, q << 40 | h)
+        return tuple([x for x in ids if x >= 0])
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text."""
