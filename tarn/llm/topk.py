@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, small, table
 from .vectors import _matrix, finite
 
-#: Vectors of a shard, about; fewer where there would be less than ``SPREAD`` shards; and of a leaf of its tree at most.
-SHARD, SPREAD, LEAF = 1 << 16, 64, 64
+#: Components of a shard's vectors, about; fewer where there would be less than ``SPREAD`` shards; and vectors of a leaf of its tree at most.
+SHARD, SPREAD, LEAF = 1 << 24, 64, 64
 #: The coarse tree is made from about so many vectors or components, whichever are fewer; it has a region for each four of them at most.
 SAMPLE, COMPONENTS = 1 << 14, 1 << 23
 SCALE = 1024
@@ -202,17 +202,17 @@ def _boxes(placed: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndar
     return {w: tuple(np.array([r[c] for r in own]) for c in ("region", "low", "high")) for w, own in made.items()}
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of ``vectors`` for each of ``queries``.
 
     Both have ``id`` (long) and ``v`` (array<double> of whole numbers, not empty); the score
     is the inner product, exact under 2^53 and an error from there on.  Vectors of other
     lengths than the query's are no candidates, nor is its own id.  Ties go to the smaller
     id; with fewer candidates than k, all are given.  Ids are taken to be unique; an empty
-    side gives no rows.  Other columns are left out.
+    side gives no rows.  Other columns are left out.  ``shard``: vectors of a shard, about.
     """
     n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
-    shards = max(ceil(n / shard), min(SPREAD, ceil(n / 1024)), 1)
+    shards = max(ceil(n / (shard or max(1, SHARD // (width or 1)))), min(SPREAD, ceil(n / 1024)), 1)
     sample = max(256, min(SAMPLE, COMPONENTS // max(width or 1, 1)))
     taken = [np.array(r["v"]) for r in vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))) < sample).select("v").limit(2 * sample).collect()]
     regions = Regions.of(taken, max(4, ceil(len(taken) / shards)))
