@@ -124,7 +124,7 @@ def poured(budget, children):
     return {n: int(x) for n, x in have.items()}
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(4))
 def test_budgets_equal_pouring(spark, seed):
     from random import Random
 
