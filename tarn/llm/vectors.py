@@ -207,7 +207,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, ident: str = "vec_i
     links = in_blocks(parts.join(large, F.col("key") == F.col("_key"), "left_anti"), same, count_links, schema)
     if not large.isEmpty():
         some = parts.join(large, F.col("key") == F.col("_key"), "left_semi").select(F.col("a").alias("_a"))
-        rows = checkpointed(same.join(some, F.col("a") == F.col("_a"), "left_semi").select("a", "v", "copies").mapInArrow(coded, "a long, v array<double>, copies long, keys array<long>"))
+        rows = checkpointed(same.join(some, F.col("a") == F.col("_a"), "left_semi").select("a", "v", "copies").mapInArrow(coded, f"a long, v {same.schema['v'].dataType.simpleString()}, copies long, keys array<long>"))
         links = links.unionByName(in_blocks(keyed.join(some, F.col("a") == F.col("_a"), "left_semi").distinct(), rows, count_links, schema))
     links = links.groupBy("a").agg(F.sum("links").alias("links"))
     found = same.join(links, "a", "left").join(parts, "a", "left")

@@ -239,8 +239,9 @@ def test_vectors_of_a_chain(spark, monkeypatch):
     # Each is like some neighbours, the ends are unlike; copies count.
     made = [(i, [float(np.cos(i / 9)), float(np.sin(i / 9)), 0.0]) for i in range(50)]
     made += [(100 + i, v) for i, v in made[:20]]
-    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in vectors.near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>")).collect()}
-    assert got == near_brute(made)
+    for kind in ("double", "float"):
+        got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in vectors.near_vectors(spark.createDataFrame(made, f"vec_id long, embedding array<{kind}>")).collect()}
+        assert got == near_brute(made)
 
 
 def test_vectors_edges(spark):
