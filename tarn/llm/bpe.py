@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-from .words import chunks, release
+from .common import source, table
+from .words import alone, chunks, kept
 
 _M = (1 << 64) - 1
 
@@ -168,11 +168,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_coders: dict[str, Coder] = {}
+_coders: dict[str, Coder] = kept("bpe", {})
 
 
 def _coder(name: str, shared, pattern: str) -> Coder:
-    """One for each worker process and vocabulary; its table of pre-tokens stays for the tasks that follow."""
+    """One for each worker process and vocabulary; its table of pre-tokens stays for the tasks of this operator that follow."""
     if name not in _coders:
         _coders.clear()
         _coders[name] = Coder(shared.value, pattern)
@@ -188,7 +188,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "i
     never cut.  Other columns pass through; of the same name, they are replaced.
     """
     out = [c for c in docs.columns if c not in (ids, decoded)]
-    src = docs.select(*out, F.col("text").alias("_text"))
+    src, text = source(docs, out)
     schema = T.StructType([*docs.select(*out).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), *([T.StructField(decoded, T.BinaryType(), False)] if decoded else [])])
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
@@ -196,17 +196,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ids: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(name, shared, pattern)
         for batch in batches:
-            for part in chunks(batch, "_text", 4 << 20):
-                found = [coder.encode(t or "") for t in part["_text"].to_pylist()]
+            for part in chunks(batch, text, 4 << 20):
+                found = [coder.encode(t or "") for t in part[text].to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]))
                 columns = [part[c] for c in out] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 if decoded:
                     columns.append(pa.array([coder.decode(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
-        release()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(alone(run, "bpe"), schema)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def source(docs: DataFrame, out: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``out`` and the text, and the text's name: where it is one of them it goes to the worker once."""
+    if "text" in out:
+        return docs.select(*out), "text"
+    return docs.select(*out, F.col("text").alias("_text")), "_text"
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, LOWER)

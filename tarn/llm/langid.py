@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-from .words import chunks, release
+from .common import source, table
+from .words import alone, chunks
 
 ORDER, BITS = 4, 20
 #: Characters of a piece of a text.
@@ -171,24 +171,24 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
     out = [c for c in docs.columns if c not in (pred, score)]
     schema = T.StructType([*docs.select(*out).schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    src, text = source(docs, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
-            for wide in chunks(batch, "_text", 1 << 20):
+            for wide in chunks(batch, text, 1 << 20):
                 for at in range(0, len(wide), 256):
                     part = wide.slice(at, 256)
-                    texts = part["_text"].to_pylist()
+                    texts = part[text].to_pylist()
                     best, value = np.full(len(texts), len(m.languages)), np.zeros(len(texts))
                     if known := [i for i, t in enumerate(texts) if m.languages and _letters(t)]:
                         f = m.scores([texts[i] for i in known])
                         best[known] = f.argmax(1)
                         value[known] = np.clip(f.max(1), 0, 1)
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in out), pa.array(names[best], pa.string()), pa.array(value)], schema.names)
-        release()
 
-    return docs.select(*out, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return src.mapInArrow(alone(run, "langid"), schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

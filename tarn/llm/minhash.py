@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .blocks import comparable, in_blocks
 from .common import checkpointed, connected_components, table, unplaced
-from .words import STRONG, U, Words, chunks, exact_sets, inverse, mix, powers, release, runs, words, _Q
+from .words import STRONG, U, Words, alone, chunks, exact_sets, inverse, mix, powers, runs, words, _Q
 
 #: Signature values compared before each decision.
 BATCH = 30
@@ -127,10 +127,9 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 sig = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer(np.arange(len(sets) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(low)])
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * np.int32(bands)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["tag"], pa.array(n), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), to(ends, keys.reshape(-1).view(np.int64)), sig], names)
-        release()
 
     schema = "doc_id long, tag long, n_shingles long, f1 long, f2 long, bands array<long>, sig binary"
-    return docs.select(*_named(docs)).mapInArrow(run, schema)
+    return docs.select(*_named(docs)).mapInArrow(alone(run, "minhash"), schema)
 
 
 def _named(docs: DataFrame) -> list[Column]:

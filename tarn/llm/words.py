@@ -9,6 +9,7 @@ text can be made up whose words are taken for others.
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,6 +20,8 @@ import pyarrow as pa
 import xxhash
 
 U = np.uint64
+#: What a worker process keeps from task to task, by operator.
+_tables: dict[str, dict] = {}
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
 
@@ -30,6 +33,35 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def kept(operator: str, table: dict) -> dict:
+    """A table that stays in a worker for the tasks that follow, until one of another operator begins."""
+    _tables[operator] = table
+    return table
+
+
+def alone(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, without the tables that other operators left in its worker; its memory goes back once it has ended.
+
+    Operators go by name, as what a closure holds is copied on its way to the worker.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(operator)
+        yield from run(batches)  # ended, it has let go of its last batch
+        release()
+
+    return whole
+
+
+def forget(but: str) -> None:
+    """Empty the kept tables of all other operators."""
+    full = [table for operator, table in _tables.items() if operator != but and table]
+    for table in full:
+        table.clear()
+    if full:
+        gc.collect()
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """At least n powers of an odd number modulo 2^64."""
     have = _powers.get(base)
@@ -95,7 +127,7 @@ class Digests(dict):
         return digest
 
 
-_digests = Digests()
+_digests = kept("minhash", Digests())
 #: Ways to get 128 bits of a word.
 STRONG, QUICK = _digests.__getitem__, xxhash.xxh3_128_digest
 

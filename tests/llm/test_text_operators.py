@@ -250,6 +250,28 @@ def test_bpe_of_any_characters(library):
         assert ids == enc.encode_ordinary(text) and coder.decode(ids) == text.encode()
 
 
+def test_workers_get_texts_once_and_keep_their_own_tables_only(spark, documents, library, monkeypatch):
+    from pyspark import cloudpickle
+
+    df = spark.createDataFrame([(d, t, x) for d, t, x, _ in documents[:40]], "doc_id long, text string, lang string")
+    sent, whole = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: sent.append((self.columns, run)) or whole(self, run, schema))
+    coded, found = bpe.encode(df, *library[:2]), langid.identify(df, langid.train(df))
+    assert [c for c, _ in sent] == [["doc_id", "text", "lang"]] * 2
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == {r["doc_id"]: r["text"] for r in coded.collect()} == {d: t for d, t, _, _ in documents[:40]}
+    other = bpe.encode(df, *library[:2], ids="text", decoded="lang")  # what is replaced is read all the same
+    assert {(r["doc_id"], tuple(r["text"])) for r in other.collect()} == {(d, tuple(library[2].encode_ordinary(t))) for d, t, _, _ in documents[:40]}
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t, "lang": x} for d, t, x, _ in documents[:40]])
+    list(sent[0][1](iter([batch])))
+    assert len(bpe._coders) == 1
+    for name, stay in (("bpe", 1), ("langid", 0)):  # as it is copied to a worker
+        assert not list(cloudpickle.loads(cloudpickle.dumps(words.alone(iter, name)))(iter([]))) and len(bpe._coders) == stay
+    list(sent[0][1](iter([batch])))
+    words.STRONG(b"word")
+    list(sent[1][1](iter([batch])))
+    assert not bpe._coders and not words._digests
+
+
 def test_bpe_query_and_edges(spark, data, documents, library):
     ranks, pattern, enc = library
     digest = lambda b: hashlib.sha256(b).hexdigest()
